@@ -1,7 +1,8 @@
 """Text quality statistics and a line model that tells prose from lists, tables and junk.
 
 Each line becomes one of ``SYMBOLS`` symbols (how it begins, how it ends, its
-share of signs, its words). A hidden Markov model with the states prose, list,
+share of signs, its words and how many of them are common) and each end of a
+text one for the limits the text breaks. A hidden Markov model with the states prose, list,
 table and junk is fitted here: one pass counts neighbouring symbols over all
 documents (a table of a fixed size), and expectation-maximisation on those
 counts fits the transition and emission tables from a stated start. A second
@@ -22,9 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 from notegrid.llm import text as tx
 
 STATES = ("prose", "list", "table", "junk")
-SHAPES, ENDS, SIGNS, COUNTS, LENGTHS = 3, 2, 4, 4, 3
-SYMBOLS = 1 + SHAPES * ENDS * SIGNS * COUNTS * LENGTHS
-_SIGN_STEPS, _COUNT_STEPS, _LENGTH_STEPS = (0.1, 0.2, 0.35), (1, 4, 9), (3.5, 8.5)
+SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN = 4, 2, 3, 3, 3, 3
+LINES = 1 + SHAPES * ENDS * SIGNS * COUNTS * LENGTHS * KNOWN
+#: After its lines each text has one symbol for its end, by the limits it breaks (none, one, more); its emissions are fixed.
+ENDINGS = 3
+_SIGN_STEPS, _COUNT_STEPS, _LENGTH_STEPS, _KNOWN_STEPS = (0.1, 0.2), (4, 9), (3.5, 8.5), (1e-9, 0.15)
+SYMBOLS = LINES + ENDINGS
+_ENDINGS = np.array([[0.7, 0.297, 0.003], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6]])
 
 
 class Lines:
@@ -74,36 +79,47 @@ class Lines:
         table = (first == ord("|")) | (pipes[hi] - pipes[lo] >= 2)
         digit = (first >= 48) & (first < 58)
         bullet = np.isin(first, [ord(c) for c in "-*+•"]) & (second == 32) | digit & np.isin(second, [ord(c) for c in ".)"]) | digit & (second >= 48) & (second < 58) & ~ends
-        shape = np.where(table, 2, np.where(bullet, 1, 0))
+        opened = total((cp == ord("[")) & np.concatenate((cp[1:] == ord("["), [False])))
+        linked = opened[hi] - opened[lo]
+        heading = (first == ord("#")) & np.isin(second, (32, ord("#")))
+        shape = np.where(heading, 3, np.where(table & (linked < 3), 2, np.where(bullet | (linked >= 3) & (linked * 6 >= line_words), 1, 0)))
+        in_line = np.searchsorted(lo, w0, "right") - 1
+        all_words, common_words = np.bincount(in_line, minlength=len(lo)), np.bincount(in_line, weights=known, minlength=len(lo))
         share = line_signs / np.maximum(1, self.line_chars)
         mean = self.line_chars / np.maximum(1, line_words)
         code = shape
-        for values, n in ((ends.astype(np.int64), ENDS), (np.digitize(share, _SIGN_STEPS), SIGNS), (np.digitize(line_words, _COUNT_STEPS), COUNTS), (np.digitize(mean, _LENGTH_STEPS), LENGTHS)):
+        for values, n in ((ends.astype(np.int64), ENDS), (np.digitize(share, _SIGN_STEPS), SIGNS), (np.digitize(line_words, _COUNT_STEPS), COUNTS), (np.digitize(mean, _LENGTH_STEPS), LENGTHS), (np.digitize(common_words / np.maximum(1, all_words), _KNOWN_STEPS), KNOWN)):
             code = code * n + values
         keep = ~blank
-        self.line_doc, self.line_chars, self.symbol = self.line_doc[keep], self.line_chars[keep], 1 + code[keep]
+        part = lambda a, b: a / np.maximum(1, b)
+        self.mean, self.sign_share = part(self.chars, self.pieces), part(self.signs, self.chars)
+        self.ended, self.known = part(self.ends, self.lines), part(self.common, self.words)
+        self.flags = (self.pieces < 30).astype(np.int64) + ((self.mean < 3.5) | (self.mean > 8.5)) + (self.sign_share > 0.2) + (self.ended < 0.4) + (self.known < 0.15)
+        doc = np.concatenate((self.line_doc[keep], np.arange(self.n)))
+        order = np.argsort(doc, kind="stable")
+        self.line_doc = doc[order]
+        self.line_chars = np.concatenate((np.where(heading, 0, self.line_chars)[keep], np.zeros(self.n, np.int64)))[order]
+        self.symbol = np.concatenate((1 + code[keep], LINES + np.minimum(self.flags, ENDINGS - 1)))[order]
 
 
 def start_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stated start: first, transition and emission tables."""
     emit = np.full((4, SYMBOLS), 1e-4)
-    for shape in range(SHAPES):
-        for end in range(ENDS):
-            for sign in range(SIGNS):
-                for count in range(COUNTS):
-                    for length in range(LENGTHS):
-                        s = 1 + (((shape * ENDS + end) * SIGNS + sign) * COUNTS + count) * LENGTHS + length
-                        even = length == 1
-                        emit[0, s] = (3 if shape == 0 else 0.05) * (3 if end else 1) * (4, 2, 0.3, 0.05)[sign] * (0.2, 1, 2, 4)[count] * (3 if even else 0.3)
-                        emit[1, s] = (4 if shape == 1 else 0.3) * (1 if end else 2) * (2, 2, 1, 0.3)[sign] * (0.5, 2, 2, 1)[count] * (2 if even else 0.7)
-                        emit[2, s] = (8 if shape == 2 else 0.02) * (0.1 if end else 2) * (0.5, 1, 2, 3)[sign] * (0.3, 1, 2, 2)[count]
-                        emit[3, s] = (1 if shape == 0 else 0.3) * (0.3 if end else 2) * (0.5, 0.7, 2, 5)[sign] * (3, 1, 0.7, 0.7)[count] * (0.5 if even else 3)
-    emit /= emit.sum(axis=1, keepdims=True)
+    for s, (shape, end, sign, count, length, known) in enumerate(np.ndindex(SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN), 1):
+        even = length == 1
+        emit[0, s] = (3, 0.1, 0.02, 2)[shape] * (1, 3)[end] * (4, 1, 0.1)[sign] * (0.5, 2, 4)[count] * (3 if even else 0.3) * (0.05, 0.2, 4)[known]
+        if shape != 3 and not end and (count == 0 or known < 2):  # a stub or a heap of words
+            emit[0, s] *= 0.05
+        emit[1, s] = (0.3, 4, 0.1, 2)[shape] * (2, 1)[end] * (2, 2, 1)[sign] * (2, 2, 1)[count] * (2 if even else 0.7) * (1.5, 1, 1)[known]
+        emit[2, s] = (0.02, 0.05, 8, 2)[shape] * (2, 0.1)[end] * (0.5, 1, 2)[sign] * (0.7, 1, 2)[count] * (2, 1, 0.3)[known]
+        emit[3, s] = (1, 0.3, 0.3, 2)[shape] * (2, 0.5)[end] * (0.5, 1, 3)[sign] * (2, 1, 1)[count] * (0.7 if even else 3) * (4, 1, 0.1)[known]
+    emit[:, 1:LINES] /= emit[:, 1:LINES].sum(axis=1, keepdims=True)
+    emit[:, LINES:] = _ENDINGS
     move = np.full((4, 4), 0.04) + np.eye(4) * 0.84
     return np.array([0.55, 0.15, 0.15, 0.15]), move, emit
 
 
-def fit(pairs: np.ndarray, first: np.ndarray, rounds: int = 25, prior: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(pairs: np.ndarray, first: np.ndarray, rounds: int = 25, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation on counts of neighbouring symbols; the start model weighs as ``prior`` of the counts."""
     begin, move, emit = start_model()
     b0, m0, e0 = begin.copy(), move.copy(), emit.copy()
@@ -121,7 +137,8 @@ def fit(pairs: np.ndarray, first: np.ndarray, rounds: int = 25, prior: float = 0
         for k in range(4):
             new[k] = np.bincount(x, left[k], SYMBOLS) + np.bincount(y, right[k], SYMBOLS) + head[k]
         emit = new + e0 * prior * total
-        emit /= emit.sum(axis=1, keepdims=True)
+        emit[:, :LINES] /= emit[:, :LINES].sum(axis=1, keepdims=True)
+        emit[:, LINES:] = _ENDINGS
         move = joint.sum(axis=2) + m0 * prior * total
         stay = left.sum(axis=1) + b0 * prior * total
         stay /= stay.sum()
@@ -146,7 +163,6 @@ def decode(symbol: np.ndarray, doc: np.ndarray, model: tuple[np.ndarray, np.ndar
     finals = np.zeros(len(at), np.int64)
     live = len(at)
     for k in range(1, int(size[0]) + 1):
-        now = int(np.searchsorted(-size, -k, "right")) if k < size[0] else 0
         now = int(np.count_nonzero(size > k)) if k < size[0] else 0
         finals[now:live] = score[now:live].argmax(axis=1)
         if not now:
@@ -168,7 +184,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model, from the counts of all documents; at most SYMBOLS * (SYMBOLS + 1) numbers come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +192,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo, hi in tx.blocks(texts):
-                x = Lines(texts[lo:hi], np.zeros(0, np.uint64))
+                x = Lines(texts[lo:hi], common)
                 before = np.concatenate(([0], x.symbol[:-1]))
                 before[np.diff(x.line_doc, prepend=-1) != 0] = 0
                 np.add.at(pairs, (before, x.symbol), 1)
@@ -197,7 +213,7 @@ def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
         raise ValueError("a list of common words has at most 100,000 entries")
     words = {r["word"] for r in common_words.select("word").where("word is not null").distinct().collect()}
     common = np.unique(np.array([tx.hash_word(w) for w in words], np.uint64))
-    model = train(docs, id_col, text_col)
+    model = train(docs, common, id_col, text_col)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,12 +223,11 @@ def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
                 state = decode(x.symbol, x.line_doc, model)
                 weight = np.zeros((4, x.n))
                 np.add.at(weight, (state, x.line_doc), x.line_chars)
+                labelled = weight.sum(axis=0)
                 part = lambda a, b: a / np.maximum(1, b)
-                mean, signs, ends, share = part(x.chars, x.pieces), part(x.signs, x.chars), part(x.ends, x.lines), part(x.common, x.words)
-                flags = (x.pieces < 30).astype(np.int64) + ((mean < 3.5) | (mean > 8.5)) + (signs > 0.2) + (ends < 0.4) + (share < 0.15)
                 yield pd.DataFrame({
-                    "doc_id": ids[lo:hi], "pieces": x.pieces, "mean_length": mean, "symbol_ratio": signs, "ended_lines": ends, "common_share": share, "words": x.words,
-                    "lines": x.lines, "flags": flags, **{s: part(weight[k], x.chars) for k, s in enumerate(STATES)}})
+                    "doc_id": ids[lo:hi], "pieces": x.pieces, "mean_length": x.mean, "symbol_ratio": x.sign_share, "ended_lines": x.ended, "common_share": x.known, "words": x.words,
+                    "lines": x.lines, "flags": x.flags, **{s: part(weight[k], labelled) for k, s in enumerate(STATES)}})
 
     shares = ", ".join(f"{s} double" for s in STATES)
     return _rows(docs, id_col, text_col).mapInPandas(measure, f"doc_id bigint, pieces bigint, mean_length double, symbol_ratio double, ended_lines double, common_share double, words bigint, lines bigint, flags int, {shares}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from notegrid.llm import neardup, respell, split, terms, together
+from notegrid.llm import leaks, neardup, pack, quality, respell, split, terms, together
 from notegrid.sources.tables import table
 
 QUERIES = {}
@@ -31,7 +31,13 @@ def p1_groups(spark, d) -> DataFrame:
     return neardup.groups(table(spark, d, "wiki_notes"))
 
 
-@query("p2_found")
+@query("p2_found", """
+WITH n AS (SELECT note_id, md_text FROM wiki_notes WHERE length(md_text) > 4000),
+h AS (SELECT DISTINCT h.note_id, h.line, length(md_text) AS size,
+        CASE WHEN h.line = 1 THEN 0 ELSE length(array_to_string(string_split(md_text, chr(10))[1:h.line - 1], chr(10))) + 1 END AS pos
+      FROM headings h JOIN n ON n.note_id = h.note_id),
+s AS (SELECT note_id, line, lead(pos, 1, size) OVER (PARTITION BY note_id ORDER BY line) - pos AS own FROM h)
+SELECT note_id, 0 AS line FROM n UNION ALL SELECT note_id, line FROM s WHERE own > 4000""")
 def p2_found(spark, d) -> DataFrame:
     return split.oversized(table(spark, d, "wiki_notes"), table(spark, d, "headings"))
 
@@ -99,3 +105,38 @@ SELECT coalesce(x.term, l.title) AS title, coalesce(records, 0) AS records, null
 FROM x FULL JOIN l ON l.title = x.term""")
 def p6_listings(spark, d) -> DataFrame:
     return terms.listing_audit(table(spark, d, "wiki_notes"), table(spark, d, "tag_counts"))
+
+
+@query("p7_found")
+def p7_found(spark, d) -> DataFrame:
+    return pack.larger_than_container(pack.pack(pack.sizes(table(spark, d, "documents"))))
+
+
+@query("p7_containers")
+def p7_containers(spark, d) -> DataFrame:
+    """Containers by the byte-level tokenizer; its file's path is the Spark setting notegrid.tokenizer where set."""
+    path = spark.conf.get("notegrid.tokenizer", "/opt/tokenizers/byte_bpe_50k.json")
+    return pack.pack(pack.sizes(table(spark, d, "documents"), count=pack.tokenizer_tokens(path)))
+
+
+@query("p8_found")
+def p8_found(spark, d) -> DataFrame:
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p8_leaks")
+def p8_leaks(spark, d) -> DataFrame:
+    """Exact and proximity matches from runs of eight words on."""
+    found = leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), run=8)
+    kind = F.when(F.col("longest") >= leaks.RUN, "exact").when(F.col("near") >= leaks.RUN, "proximity").otherwise("fragment")
+    return found.withColumn("kind", kind)
+
+
+@query("p9_found")
+def p9_found(spark, d) -> DataFrame:
+    return quality.not_prose(quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words")))
+
+
+@query("p9_statistics")
+def p9_statistics(spark, d) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
