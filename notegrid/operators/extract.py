@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from notegrid.functions import expr as X
 from notegrid.functions.markdown import Parsed, scan, section
@@ -86,7 +86,7 @@ def note_tags(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("key", "tag").agg(F.min("pos").alias("pos"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def section_text(text: pd.Series, slug: pd.Series) -> pd.Series:
     return pd.Series([section(t, s) for t, s in zip(text, slug)], dtype=object)
 

@@ -12,7 +12,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from notegrid.functions import expr as X
 
@@ -50,7 +50,7 @@ def score_one(text: str | None, keyword: str) -> int:
 def score(text: Column | str, query: str) -> Column:
     words = query.split()
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: sum(score_one(t, w) for w in words))
 
