@@ -20,7 +20,7 @@ import sys
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from notegrid.plans.scratch import written
 
@@ -86,7 +86,7 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def recompose(s: pd.Series) -> pd.Series:
     """A starter with its ordered marks as one character where Unicode has one."""
     return s.map(lambda x: x if x is None or len(x) < 2 else unicodedata.normalize("NFC", x))
