@@ -88,8 +88,8 @@ def base_url(url: Column | str) -> Column:
     return F.concat(F.regexp_replace(col(url), "/+$", ""), F.lit("/"))
 
 
-def note_href(base: str, ctx: Column | str, title: Column | str) -> Column:
-    return F.concat(F.lit(base.rstrip("/") + "/scraps/"), file_stem(ctx, title), F.lit(".html"))
+def note_href(base: str, ctx: Column | str, title: Column | str, folder: str = "notes") -> Column:
+    return F.concat(F.lit(f"{base.rstrip('/')}/{folder}/"), file_stem(ctx, title), F.lit(".html"))
 
 
 def tag_href(base: str, tag: Column | str) -> Column:

@@ -37,17 +37,17 @@ def _warnings(rows: DataFrame, rule: str, message: Column, link: Column | None =
 
 def dead_end(w: Wiki) -> DataFrame:
     rows = w.notes.join(w.edges.select(F.col("src").alias("key")), "key", "left_anti")
-    return _warnings(rows, "dead-end", F.lit("scrap has no links to other scraps"))
+    return _warnings(rows, "dead-end", F.lit("note has no links to other notes"))
 
 
 def lonely(w: Wiki) -> DataFrame:
     rows = w.notes.join(w.edges.select(F.col("dst").alias("key")), "key", "left_anti")
-    return _warnings(rows, "lonely", F.lit("scrap is not linked from any other scrap"))
+    return _warnings(rows, "lonely", F.lit("note is not linked from any other note"))
 
 
 def self_link(w: Wiki) -> DataFrame:
     rows = w.notes.join(w.edges.where("src = dst").select(F.col("src").alias("key")), "key", "left_semi")
-    return _warnings(rows, "self-link", F.lit("scrap links to itself"), F.concat(F.lit("[["), "name", F.lit("]]")))
+    return _warnings(rows, "self-link", F.lit("note links to itself"), F.concat(F.lit("[["), "name", F.lit("]]")))
 
 
 def overlinking(w: Wiki) -> DataFrame:
@@ -70,7 +70,7 @@ def broken_heading_ref(w: Wiki) -> DataFrame:
     known = extract.headings(w.parsed).select(F.col("key").alias("dst"), X.slug_dash("text").alias("slug"))
     lost = asked.join(known, ["dst", "slug"], "left_anti").select("key", "dst_name", "heading")
     link = F.concat(F.lit("[["), "dst_name", F.lit("#"), "heading", F.lit("]]"))
-    message = F.concat(F.lit("broken heading reference: "), link, F.lit(" (heading not found in target scrap)"))
+    message = F.concat(F.lit("broken heading reference: "), link, F.lit(" (heading not found in target note)"))
     return _warnings(w.notes.join(lost, "key"), "broken-heading-ref", message, link)
 
 
@@ -78,7 +78,7 @@ def stale(w: Wiki) -> DataFrame:
     """Notes last committed more than ``days`` before ``now``; never committed ones are left out."""
     age = (F.lit(w.now) - F.col("committed_ts")) / 86400
     rows = w.notes.where(F.lit(False)) if w.now is None else w.notes.where(F.col("committed_ts") < w.now - w.days * 86400)
-    return _warnings(rows, "stale-by-git", F.concat(F.lit("scrap not updated in "), F.floor(age).cast("string"), F.lit(" days")))
+    return _warnings(rows, "stale-by-git", F.concat(F.lit("note not updated in "), F.floor(age).cast("string"), F.lit(" days")))
 
 
 _BY_NAME = dict(zip(RULES, (dead_end, lonely, self_link, overlinking, broken_link, broken_heading_ref, stale)))

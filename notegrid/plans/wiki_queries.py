@@ -206,13 +206,13 @@ def tag_members_of(spark, d):
 
 
 _LINT = {
-    "dead_end": ("dead-end", "SELECT key AS note, 'scrap has no links to other scraps' AS message FROM N WHERE key NOT IN (SELECT src FROM E)"),
-    "lonely": ("lonely", "SELECT key AS note, 'scrap is not linked from any other scrap' AS message FROM N WHERE key NOT IN (SELECT dst FROM E)"),
-    "self_link": ("self-link", "SELECT src AS note, 'scrap links to itself' AS message FROM E WHERE src = dst"),
+    "dead_end": ("dead-end", "SELECT key AS note, 'note has no links to other notes' AS message FROM N WHERE key NOT IN (SELECT src FROM E)"),
+    "lonely": ("lonely", "SELECT key AS note, 'note is not linked from any other note' AS message FROM N WHERE key NOT IN (SELECT dst FROM E)"),
+    "self_link": ("self-link", "SELECT src AS note, 'note links to itself' AS message FROM E WHERE src = dst"),
     "overlinking": ("overlinking", "SELECT src AS note, 'link [[' || dst || ']] appears ' || count(*) || ' times' AS message FROM LK GROUP BY src, dst HAVING count(*) > 1"),
     "broken_link": ("broken-link", "SELECT src AS note, 'broken wikilink: [[' || dst || ']]' AS message FROM E WHERE dst NOT IN (SELECT key FROM N)"),
-    "broken_heading": ("broken-heading-ref", "SELECT src AS note, 'broken heading reference: [[' || dst || '#' || heading || ']] (heading not found in target scrap)' AS message FROM LK JOIN P ON P.key = dst WHERE heading IS NOT NULL AND p_size <= 25"),
-    "stale": ("stale-by-git", f"SELECT key AS note, 'scrap not updated in ' || (({NOW} - ts) // 86400) || ' days' AS message FROM N WHERE ts < {NOW} - 180 * 86400"),
+    "broken_heading": ("broken-heading-ref", "SELECT src AS note, 'broken heading reference: [[' || dst || '#' || heading || ']] (heading not found in target note)' AS message FROM LK JOIN P ON P.key = dst WHERE heading IS NOT NULL AND p_size <= 25"),
+    "stale": ("stale-by-git", f"SELECT key AS note, 'note not updated in ' || (({NOW} - ts) // 86400) || ' days' AS message FROM N WHERE ts < {NOW} - 180 * 86400"),
 }
 
 
@@ -278,12 +278,12 @@ def build_page_count(spark, d):
 _STEM = "replace(lower(key), ' ', '-')"
 
 
-@query("search_index", sql(f"SELECT key AS title, '{BASE}scraps/' || {_STEM} || '.html' AS url, '{{\"title\":\"' || key || '\",\"url\":\"{BASE}scraps/' || {_STEM} || '.html\"}}' AS json FROM N"))
+@query("search_index", sql(f"SELECT key AS title, '{BASE}notes/' || {_STEM} || '.html' AS url, '{{\"title\":\"' || key || '\",\"url\":\"{BASE}notes/' || {_STEM} || '.html\"}}' AS json FROM N"))
 def search_index(spark, d):
     return site.search_index(World(spark, d).notes, BASE)
 
 
-@query("link_href", sql(f"SELECT src AS note, dst AS target, '{BASE}scraps/' || replace(lower(dst), ' ', '-') || '.html' || coalesce('#' || lower(heading), '') AS href FROM LK WHERE dst IN (SELECT key FROM N)"))
+@query("link_href", sql(f"SELECT src AS note, dst AS target, '{BASE}notes/' || replace(lower(dst), ' ', '-') || '.html' || coalesce('#' || lower(heading), '') AS href FROM LK WHERE dst IN (SELECT key FROM N)"))
 def link_href(spark, d):
     w = World(spark, d)
     rows = extract.refs(w.parsed(), "link").join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
