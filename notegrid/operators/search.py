@@ -2,8 +2,9 @@
 
 Membership: the characters of a keyword occur in order (smart case). Score of a
 keyword over a text: 16 for each matched character, 8 more at the start of a
-word, 4 more for each that follows the one before directly, less the length of
-the gaps up to 16 each; leftmost greedy match. A query's score is the sum.
+word, 10 more for each that follows the one before directly, less the length of
+the gaps up to 16 each; the better of the leftmost match and the first whole
+occurrence. A query's score is the sum.
 """
 
 from __future__ import annotations
@@ -35,16 +36,20 @@ def score_one(text: str | None, keyword: str) -> int:
     if text is None or not keyword:
         return 0
     t, k = (text, keyword) if any(c.isupper() for c in keyword) else (text.lower(), keyword.lower())
-    at, last, total = 0, -1, 0
+
+    def along(places: list[int]) -> int:
+        total = 16 * len(k) + sum(8 for i in places if i == 0 or not t[i - 1].isalnum())
+        return total + sum(10 if j == i + 1 else -min(16, j - i - 1) for i, j in zip(places, places[1:]))
+
+    places, at = [], 0
     for c in k:
         i = t.find(c, at)
         if i < 0:
             return 0
-        total += 16 + (8 if i == 0 or not t[i - 1].isalnum() else 0)
-        if last >= 0:
-            total += 4 if i == last + 1 else -min(16, i - last - 1)
-        last, at = i, i + 1
-    return max(1, total)
+        places.append(i)
+        at = i + 1
+    whole = t.find(k)
+    return max(1, along(places), along(list(range(whole, whole + len(k)))) if whole >= 0 else 0)
 
 
 def score(text: Column | str, query: str) -> Column:
