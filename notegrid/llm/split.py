@@ -9,7 +9,8 @@ word 1, sentence 2, line 3, blank line 4, heading of level L 11 - L.
 Pieces cover the text without gaps (``start`` to ``stop``) and each but the
 first is led in by exactly ``overlap`` characters before it (fewer where the
 text has fewer). Nulls: a null text is no oversized note; null or repeated
-heading rows and headings beyond the last line have no effect. Texts at the
+heading rows and headings beyond the last line have no effect, rows with a null
+id are left out. Texts at the
 limit aren't split. CRLF is never cut.
 """
 
@@ -50,7 +51,7 @@ def _finer(text: str, lo: int, hi: int, most: int, starts: list[int], strength:
     at = lo
     for c in [*sorted(x for x in cuts if lo < x < hi), hi]:
         while c - at > most:  # a run without white space
-            at += most - (text[at + most - 1 : at + most + 1] == "\r\n")
+            at += most - (most > 1 and text[at + most - 1 : at + most + 1] == "\r\n")
             starts.append(at), strength.append(0)
         if c < hi:
             starts.append(c), strength.append(cuts[c])
@@ -102,6 +103,7 @@ def split_oversized(notes: DataFrame, headings: DataFrame, limit: int = LIMIT, o
     overlap (null without ``with_text``), and long_sections: the lines of the note's headings whose section is over the limit."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
+    notes = notes.where("note_id is not null")
     big = notes.where(F.length("md_text") > limit).select("note_id", "md_text")
     heads = headings.where("note_id is not null and line is not null").select("note_id", "line", F.coalesce("level", F.lit(6)).alias("level"))
     heads = heads.join(notes.where(F.length("md_text") > limit).select("note_id"), "note_id", "left_semi")
