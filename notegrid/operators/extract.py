@@ -8,8 +8,10 @@ more than one of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from notegrid.functions import expr as X
@@ -26,17 +28,30 @@ SCHEMA = (
 )
 
 
-def _row(p: Parsed) -> tuple:
-    return (
-        [dict(zip(_REF, x)) for x in p.refs], [dict(zip(_HEAD, x)) for x in p.headings], [dict(zip(_CODE, x)) for x in p.code],
-        [dict(zip(_TASK, x)) for x in p.tasks], p.images,
-    )
+_REF_TYPES = (pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int32())
+_HEAD_TYPES = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+_CODE_TYPES = (pa.string(), pa.string(), pa.int32())
+_TASK_TYPES = (pa.string(), pa.string(), pa.int32())
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [_row(scan(t)) for t in pdf["md_text"]]
-        yield pd.DataFrame({"key": pdf["key"], **{c: [r[k] for r in rows] for k, c in enumerate(("refs", "headings", "code", "tasks", "images"))}})
+def _structs(rows: list[list[tuple]], names: tuple, types: tuple) -> pa.Array:
+    """A list of structs per note, built column by column."""
+    offsets = [0, *accumulate(map(len, rows))]
+    columns = list(zip(*(x for r in rows for x in r))) or [()] * len(names)
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p: list[Parsed] = [scan(t) for t in batch.column("md_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("key"), _structs([x.refs for x in p], _REF, _REF_TYPES), _structs([x.headings for x in p], _HEAD, _HEAD_TYPES),
+                _structs([x.code for x in p], _CODE, _CODE_TYPES), _structs([x.tasks for x in p], _TASK, _TASK_TYPES), pa.array([x.images for x in p], pa.list_(pa.string())),
+            ],
+            names=["key", "refs", "headings", "code", "tasks", "images"],
+        )
 
 
 def with_key(notes: DataFrame) -> DataFrame:
@@ -46,7 +61,7 @@ def with_key(notes: DataFrame) -> DataFrame:
 
 def parse(notes: DataFrame) -> DataFrame:
     """One row a note: its key and all that is extracted from ``md_text``."""
-    return notes.select("key", "md_text").mapInPandas(_parse, SCHEMA)
+    return notes.select("key", "md_text").mapInArrow(_parse, SCHEMA)
 
 
 def refs(parsed: DataFrame, *kinds: str) -> DataFrame:

@@ -35,14 +35,14 @@ def sql(text: str, *, rec: bool = False) -> str:
 
 
 class World:
-    """The rendered wiki, parsed once."""
+    """The rendered wiki; ``keep`` writes it once for queries that read it more than once."""
 
-    def __init__(self, spark, d: str) -> None:
-        self.notes = extract.with_key(rendered.notes(spark, d))
+    def __init__(self, spark, d: str, keep: bool = False) -> None:
+        notes = extract.with_key(rendered.notes(spark, d))
+        self.notes = written(notes, "notes") if keep else notes
 
-    def parsed(self, keep: bool = False) -> DataFrame:
-        p = extract.parse(self.notes)
-        return written(p, "parsed") if keep else p
+    def parsed(self) -> DataFrame:
+        return extract.parse(self.notes)
 
     def lint(self) -> lint.Wiki:
         notes = written(self.notes, "notes")
@@ -118,7 +118,7 @@ def task_items_all(spark, d):
 @query("todo_open", sql(f"SELECT note, text, line FROM ({_TASK}) WHERE status = 'open'"))
 def todo_open(spark, d):
     """Open tasks by context, title and line."""
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     rows = extract.tasks(w.parsed(), "open").join(w.notes.select("key", "name", "title", "ctx"), "key")
     return rows.orderBy(F.coalesce(F.array_join("ctx", "/"), F.lit("")), "title", "line").select(F.col("name").alias("note"), "text", "line")
 
@@ -150,7 +150,7 @@ def get_note(spark, d):
 
 @query("links_of_note", sql("SELECT kind, target, heading FROM (SELECT 'link' AS kind, src, dst AS target, heading FROM LK UNION ALL SELECT 'embed', src, dst, heading FROM EM) WHERE src = (SELECT min(key) FROM O WHERE k % 3 = 0 AND k IN (SELECT l_orderkey FROM L)) AND target IN (SELECT key FROM N)"))
 def links_of_note(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     some = w.notes.where(F.col("title").startswith("O") & (F.expr("int(substring(title, 2))") % 3 == 0) & F.contains("md_text", F.lit("qty")))
     one = w.notes.join(some.agg(F.min("name").alias("name")), "name", "left_semi")
     return graph.links_of(w.notes, w.parsed(), one).select("kind", "target", "heading")
@@ -158,7 +158,7 @@ def links_of_note(spark, d):
 
 @query("backlinks_of_note", sql("SELECT src AS note FROM E WHERE dst = (SELECT min(key) FROM P)"))
 def backlinks_of_note(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     one = w.notes.join(w.notes.where(F.col("title").startswith("P")).agg(F.min("name").alias("name")), "name", "left_semi")
     return graph.backlinks_of(w.notes, graph.edges(w.parsed()), one).select(F.col("name").alias("note"))
 
@@ -168,7 +168,7 @@ _BACK = "SELECT N.key AS note, count(E.src) AS backlinks FROM N LEFT JOIN E ON E
 
 @query("backlink_counts", sql(_BACK))
 def backlink_counts(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     return graph.backlink_counts(w.notes, graph.edges(w.parsed())).select(F.col("name").alias("note"), "backlinks")
 
 
@@ -235,7 +235,7 @@ def lint_summary(spark, d):
 
 @query("embed_closure", sql(", CL AS (SELECT DISTINCT src AS root, dst AS reached FROM EM UNION SELECT CL.root, EM.dst FROM CL JOIN EM ON EM.src = CL.reached) SELECT root, reached FROM CL", rec=True))
 def embed_closure(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     pairs = graph.closure(graph.embed_edges(w.notes, w.parsed()))
     return w.named(w.named(pairs, "root", "root"), "reached", "reached").select("root", "reached")
 
@@ -251,7 +251,7 @@ def index_by_date(spark, d):
 
 @query("index_by_links", sql(f", {_ORDERED} SELECT note, by_links AS row, backlinks FROM R"))
 def index_by_links(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     return site.positions(graph.backlink_counts(w.notes, graph.edges(w.parsed())), site.by_links()).select(F.col("name").alias("note"), "row", "backlinks")
 
 
@@ -270,7 +270,7 @@ def page_pointers(spark, d):
 
 @query("build_page_count", sql("SELECT (count(*) + 19) // 20 AS index_pages, count(*) AS notes, (SELECT count(DISTINCT tag) FROM TM) AS tags, (count(*) + 19) // 20 + count(*) + 1 + (SELECT count(DISTINCT tag) FROM TM) AS files FROM N"))
 def build_page_count(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     return site.page_count(w.notes, tags.tag_set(extract.note_tags(w.parsed())), 20)
 
 
@@ -285,7 +285,7 @@ def search_index(spark, d):
 
 @query("link_href", sql(f"SELECT src AS note, dst AS target, '{BASE}notes/' || replace(lower(dst), ' ', '-') || '.html' || coalesce('#' || lower(heading), '') AS href FROM LK WHERE dst IN (SELECT key FROM N)"))
 def link_href(spark, d):
-    w = World(spark, d)
+    w = World(spark, d, keep=True)
     rows = extract.refs(w.parsed(), "link").join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
     href = F.concat(X.note_href(BASE, "ctx", "title"), F.coalesce(F.concat(F.lit("#"), X.slug_dash("heading")), F.lit("")))
     return w.named(rows).select("note", F.col("dst_name").alias("target"), href.alias("href"))
