@@ -29,7 +29,7 @@ LINES = 1 + SHAPES * ENDS * SIGNS * COUNTS * LENGTHS * KNOWN
 ENDINGS = 3
 _SIGN_STEPS, _COUNT_STEPS, _LENGTH_STEPS, _KNOWN_STEPS = (0.1, 0.2), (4, 9), (3.5, 8.5), (1e-9, 0.15)
 SYMBOLS = LINES + ENDINGS
-_ENDINGS = np.array([[0.7, 0.297, 0.003], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6]])
+_ENDINGS = np.array([[0.7, 0.2995, 0.0005], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6]])
 
 
 class Lines:
@@ -108,7 +108,7 @@ def start_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s, (shape, end, sign, count, length, known) in enumerate(np.ndindex(SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN), 1):
         even = length == 1
         emit[0, s] = (3, 0.1, 0.02, 2)[shape] * (1, 3)[end] * (4, 1, 0.1)[sign] * (0.5, 2, 4)[count] * (3 if even else 0.3) * (0.05, 0.2, 4)[known]
-        if shape != 3 and not end and (count == 0 or known < 2):  # a stub or a heap of words
+        if shape != 3 and not end and (count < 2 or known < 2):  # a stub or a heap of words
             emit[0, s] *= 0.05
         emit[1, s] = (0.3, 4, 0.1, 2)[shape] * (2, 1)[end] * (2, 2, 1)[sign] * (2, 2, 1)[count] * (2 if even else 0.7) * (1.5, 1, 1)[known]
         emit[2, s] = (0.02, 0.05, 8, 2)[shape] * (2, 0.1)[end] * (0.5, 1, 2)[sign] * (0.7, 1, 2)[count] * (2, 1, 0.3)[known]
@@ -151,6 +151,7 @@ def fit(pairs: np.ndarray, first: np.ndarray, rounds: int = 25, prior: float = 0
 def decode(symbol: np.ndarray, doc: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Best state of each line (Viterbi), all texts of the block in step."""
     begin, move, emit = (np.log(x) for x in model)
+    stay = np.where(np.eye(4, dtype=bool), 0.0, -np.inf)  # the end of a text belongs to its last line's state
     out = np.zeros(len(symbol), np.int64)
     if not len(symbol):
         return out
@@ -167,9 +168,10 @@ def decode(symbol: np.ndarray, doc: np.ndarray, model: tuple[np.ndarray, np.ndar
         finals[now:live] = score[now:live].argmax(axis=1)
         if not now:
             break
-        ways = score[:now, :, None] + move
+        here = symbol[at[:now] + k]
+        ways = score[:now, :, None] + np.where((here >= LINES)[:, None, None], stay, move)
         back.append(ways.argmax(axis=1).astype(np.int8))
-        score = ways.max(axis=1) + emit[:, symbol[at[:now] + k]].T
+        score = ways.max(axis=1) + emit[:, here].T
         live = now
     state = finals.copy()
     for k in range(int(size[0]) - 1, -1, -1):
