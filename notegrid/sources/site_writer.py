@@ -14,8 +14,6 @@ from notegrid.operators import graph, site, tags
 from notegrid.wiki import Wiki
 
 STYLE = "body { max-width: 46rem; margin: 2rem auto; font-family: sans-serif; line-height: 1.5 }\n"
-#: Texts of embedded notes are sent to the renderers up to this many characters; beyond it embeds are left as links.
-EMBED_CHARS = 50_000_000
 
 
 def _page(title: str, body: str) -> str:
@@ -26,25 +24,27 @@ def _list(items: list[tuple[str, str]]) -> str:
     return "<ul>" + "".join(f'<li><a href="{u}">{escape(t)}</a></li>' for t, u in items) + "</ul>"
 
 
-def embedded(w: Wiki) -> dict[tuple, str] | None:
-    """Texts of all notes that are embedded somewhere, if they are few enough."""
-    targets = w.notes.join(graph.embed_edges(w.notes, w.parsed).select(F.col("dst").alias("key")).distinct(), "key", "left_semi")
-    if (targets.agg(F.sum(F.length("md_text")).alias("n")).collect()[0]["n"] or 0) > EMBED_CHARS:
-        return None
-    return {(*(r["ctx"] or []), r["title"]): r["md_text"] or "" for r in targets.select("ctx", "title", "md_text").collect()}
+def embedded(w: Wiki) -> DataFrame:
+    """(key, texts): of each note that embeds others, the keys and texts of all that it reaches; a page holds them anyway."""
+    reach = graph.closure(graph.embed_edges(w.notes, w.parsed)).select(F.col("root"), F.col("reached").alias("key"))
+    texts = w.notes.join(reach.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("md_text", F.lit(""))).alias("md_text"))
+    return reach.join(texts, "key").groupBy("root").agg(F.collect_list(F.struct("key", "md_text")).alias("texts")).withColumnRenamed("root", "key")
 
 
 def note_pages(w: Wiki) -> DataFrame:
-    base, texts = w.config.base_url, embedded(w)
+    base = w.config.base_url
     back = w.edges.join(w.site_notes().select(F.col("key").alias("src"), F.col("name").alias("n"), X.note_href(base, "ctx", "title").alias("u")), "src")
     back = back.groupBy(F.col("dst").alias("key")).agg(F.sort_array(F.collect_list(F.struct("n", "u"))).alias("back"))
-    rows = w.site_notes().join(back, "key", "left").select(X.file_stem("ctx", "title").alias("stem"), "title", "md_text", "back")
+    rows = w.site_notes().join(back, "key", "left").join(embedded(w), "key", "left").select(X.file_stem("ctx", "title").alias("stem"), "title", "md_text", "back", "texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Renderer(base, (lambda c, t: texts.get((*c, t))) if texts is not None else None)
+        texts: dict[str, str] = {}
+        r = Renderer(base, lambda c, t: texts.get("\u0001".join((*c, t))))
         for pdf in batches:
             out = []
-            for stem, title, text, own in zip(pdf["stem"], pdf["title"], pdf["md_text"], pdf["back"]):
+            for stem, title, text, own, reached in zip(pdf["stem"], pdf["title"], pdf["md_text"], pdf["back"], pdf["texts"]):
+                texts.clear()
+                texts.update((x["key"], x["md_text"]) for x in (reached if reached is not None else ()))
                 body = f"<h1>{escape(title)}</h1>\n{r.render(text)}"
                 if own is not None and len(own):
                     body += "\n<h2>Backlinks</h2>" + _list([(x["n"], x["u"]) for x in own])

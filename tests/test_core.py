@@ -152,3 +152,16 @@ def test_empty_wiki(spark):
     w = Wiki(spark.createDataFrame([], "title string, ctx array<string>, md_text string"))
     assert w.tags().count() == 0 and w.index().count() == 0 and w.lint().count() == 0 and w.todo("all").count() == 0
     assert lint.RULES[-1] == "stale-by-git"
+
+
+def test_embeds_are_expanded_whatever_their_size(spark, monkeypatch):
+    monkeypatch.setattr(site_writer, "EMBED_CHARS", 10, raising=False)  # the size switch of old, if it comes back
+    long = "word " * 5000
+    notes = [("page", None, "![[long0]] ![[x/mid]] ![[gone]]")] + [(f"long{i}", None, f"{long}end{i}\n\n![[long{i + 1}]]") for i in range(3)] + [("mid", ["x"], "![[page]] tail ![[empty]]"), ("empty", None, None)]
+    w = Wiki(spark.createDataFrame(notes, "title string, ctx array<string>, md_text string"))
+    html = {r["rel_path"]: r["html"] for r in site_writer.note_pages(w).collect()}
+    page = html["notes/page.html"]
+    assert not any("![[" in x for x in html.values())
+    assert "end0" in page and "end1" in page and "end2" in page and "tail" in page
+    assert page.count("embed-missing") == 4 and '<div class="embed-missing">gone</div>' in page and '<div class="embed-missing">long3</div>' in page
+    assert html["notes/empty.html"].count("embed") == 0
