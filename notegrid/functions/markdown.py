@@ -27,6 +27,7 @@ _WIKI = re.compile(r"\[\[((?:[^\[\]|\\]|\\.){1,1000})(?:\|((?:[^\[\]|\\]|\\.){0,
 _TARGET = re.compile(r"\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
 _PLAIN = re.compile(r"[^\\`<\[\]!&*_\n#]+")
 _STRONG = re.compile(r"(?<![\w*])(\*{1,3}|_{1,3})(?=\S)(.+?)(?<=\S)\1(?!\w)", re.S)
+_LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
 _ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _UNESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
@@ -350,14 +351,13 @@ def section(text: str | None, slug: str) -> str | None:
     """Text below the first top-level heading with this slug, up to the next one that isn't deeper."""
     if not text:
         return None
-    raw = text.splitlines(keepends=True) if "\r" in text else [x + "\n" for x in text.split("\n")]
+    raw = _LINES.findall(text)
     tops = [h for h in scan(text).headings if h[4]]
     for k, (level, label, line, _, _) in enumerate(tops):
         if heading_slug(label) == slug:
             end = next((h[2] for h in tops[k + 1 :] if h[0] <= level), len(raw) + 1)
             body = raw[line : end - 1]
-            if body and _SETEXT.match(body[0].rstrip("\r\n")) and not _ATX.match(raw[line - 1].rstrip("\r\n")):
-                body = body[1:]
-            out = "".join(body)
-            return out[:-1] if end == len(raw) + 1 and not text.endswith("\n") and out.endswith("\n") else out.removesuffix("\n") if end == len(raw) + 1 and out.endswith("\n\n") else out
+            if not _ATX.match(raw[line - 1].rstrip("\r\n")):  # a Setext heading of one or more lines
+                body = body[1 + next(n for n, x in enumerate(body) if _SETEXT.match(x.rstrip("\r\n"))) :]
+            return "".join(body)
     return None

@@ -100,6 +100,22 @@ def section_body(spark, d):
     return w.notes.where(F.col("title").startswith("P") & plain).select(F.col("name").alias("note"), F.length(extract.section_of("md_text", F.lit("spec"))).alias("chars")).where("chars is not null")
 
 
+_SECTIONS = """
+SELECT key AS note, CASE WHEN p_size > 25 THEN 'spec' ELSE 'notes' END AS section, (length(p_name) + 2
+  + CASE WHEN p_size % 10 = 0 THEN length(key) + 15 ELSE 0 END + CASE WHEN k % 7 = 0 THEN length(k::VARCHAR) + 39 ELSE 0 END
+  + CASE WHEN k % 5 = 0 THEN length(k::VARCHAR) + 38 ELSE 0 END + coalesce(length(EM.dst) + 7, 0))::INT AS chars
+FROM P LEFT JOIN EM ON EM.src = P.key
+UNION ALL SELECT O.key, 'lines', (coalesce(x.chars + 1, 0) + coalesce(length(EM.dst) + 12, 0))::INT
+FROM O LEFT JOIN (SELECT l_orderkey, sum(length(pk) + length(l_quantity::INT::VARCHAR) + 26) AS chars FROM L GROUP BY 1) x ON x.l_orderkey = O.k LEFT JOIN EM ON EM.src = O.key"""
+
+
+@query("section_lengths", sql(_SECTIONS))
+def section_lengths(spark, d):
+    """Length of the sections Spec, Notes and Lines of all notes that have them, whatever they hold."""
+    w = World(spark, d).notes.select(F.col("name").alias("note"), "md_text", F.explode(F.array(*map(F.lit, ("spec", "notes", "lines")))).alias("section"))
+    return w.select("note", "section", F.length(extract.section_of("md_text", "section")).alias("chars")).where("chars is not null")
+
+
 @query("code_blocks_all", sql("SELECT key AS note, 'sql' AS lang, 'select ''[[not/a/link]]'', ' || k || chr(10) AS content FROM P WHERE k % 5 = 0"))
 def code_blocks_all(spark, d):
     w = World(spark, d)

@@ -66,3 +66,9 @@ def test_html():
     assert r.render("1. a\n2. b") == "<ol><li>a</li><li>b</li></ol>" and "checked" in r.render("- [x] d")
     assert Renderer("https://e").render("![[a]]") == "<p>![[a]]</p>"
     assert slug(" A: b/c ") == "a-colon-b-slash-c"
+
+
+def test_section_keeps_every_character_of_its_lines():
+    assert section("# O\n\n## Lines\n", "lines") == "" and section("# O\n\n## Lines", "lines") == "" and section("# A\nx\n\n", "a") == "x\n\n"
+    assert section("# A\r\nx\x0cy z\r\n\n# B\rw", "a") == "x\x0cy z\r\n\n" and section("# A\r\nx\n# B\rw", "b") == "w"
+    assert section("Two\nlines\n=====\nbody\n# C\n", "two-lines") is None and section("Two\nlines\n=====\nbody\n# C\n", "twolines") == "body\n"
