@@ -4,7 +4,15 @@ Each task keeps the postings (term, text, position) of its block of documents.
 Every window of ``run`` words of a test item is looked up through its term that
 is rarest in the shard; a window with a term that has no posting is dead. Lists
 of the other terms, adjusted by their offset, are intersected with it until the
-phrase breaks, so a hit is exact. Hits on near diagonals make a proximity match.
+phrase breaks, so a hit is exact.
+
+A proximity match needs no run. In a stretch of ``2 * RUN`` words of the item
+the words are counted that stand at the same distances in the document, whatever
+stands between them; from ``RUN`` on it is a match. Of each stretch, the postings
+of all but its ``RUN - SURE`` commonest words are taken: a match holds at least
+``SURE`` of them on one diagonal, and only where so many are all words are
+counted, so none is lost. Runs on diagonals at most ``gap`` apart add up too,
+each word of the item once, which finds words put in or left out between runs.
 
 Test items are the stated query set: at most ``ITEMS`` of them are on a task at
 once, more are taken block by block, each against all documents. Nulls: a null
@@ -24,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from notegrid.llm import text as tx
 
 RUN, ITEMS = 13, 2000
+#: Looked-up words that a proximity match has at least; any number up to RUN gives the same matches.
+SURE = 6
 OUT = "doc_id bigint, item_id bigint, longest int, words int, item_words int, near int"
 
 
@@ -87,20 +97,80 @@ def search(h: np.ndarray, doc: np.ndarray, items: Items) -> pd.DataFrame:
     return runs.drop_duplicates(ignore_index=True)
 
 
-def _report(runs: pd.DataFrame, gap: int) -> pd.DataFrame:
-    """Per text and item: longest run, words of the item in runs, most words in runs on near diagonals."""
-    runs = runs.sort_values(["doc", "item", "p"], ignore_index=True)
-    runs["d"] = runs["p"] - runs["q"]
-    same = (runs["doc"].diff() == 0) & (runs["item"].diff() == 0)
-    runs["chain"] = (~(same & (runs["d"].diff().abs() <= gap))).cumsum()
-    near = runs.groupby(["doc", "item", "chain"], as_index=False)["n"].sum().groupby(["doc", "item"])["n"].max()
-    once = runs.drop_duplicates(["doc", "item", "q", "n"]).groupby(["doc", "item"])
-    out = pd.DataFrame({"longest": once["n"].max(), "words": once["n"].sum(), "near": near}).reset_index()
-    return out
+def _band(runs: pd.DataFrame, gap: int) -> int:
+    """Most words of the item that runs on diagonals at most ``gap`` apart cover."""
+    d, q, end = (runs["p"] - runs["q"]).to_numpy(), runs["q"].to_numpy(), (runs["q"] + runs["n"]).to_numpy()
+    order = np.lexsort((q, d))
+    d, q, end = d[order], q[order], end[order]
+    to, best = np.searchsorted(d, d + gap, "right"), 0
+    for k in np.flatnonzero(np.diff(d, prepend=d[0] - 1)):
+        if k and to[k] == to[k - 1]:
+            continue  # part of the band before
+        own = np.argsort(q[k : to[k]], kind="stable") + k
+        reached = np.maximum.accumulate(end[own])
+        begin = np.maximum(q[own], np.concatenate(([-1], reached[:-1])))
+        best = max(best, int(np.maximum(reached - begin, 0).sum()))
+    return best
 
 
-def find(docs: DataFrame, items: DataFrame, run: int = RUN, gap: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, longest, words, item_words, near) of each document that holds ``run`` consecutive words of an item."""
+def _report(runs: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Per text and item: longest run, words of the item in runs, most words of the item in runs on near diagonals."""
+    once = runs.drop_duplicates(["doc", "item", "q", "n"]).groupby(["doc", "item"])
+    out = pd.DataFrame({"longest": once["n"].max(), "words": once["n"].sum()})
+    size = runs.groupby(["doc", "item"])["n"]
+    out["near"] = size.max()
+    many = size.count() > 1
+    for key, own in runs.groupby(["doc", "item"]) if many.any() else ():
+        if many[key]:
+            out.loc[key, "near"] = _band(own, gap)
+    return out.reset_index()
+
+
+def near_words(h: np.ndarray, doc: np.ndarray, items: Items) -> pd.DataFrame:
+    """Text, item and words of each proximity match."""
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "item", "near")})
+    term, order, begin = postings(h, items.vocabulary)
+    width, m = 2 * RUN, len(items.term)
+    if not m or not len(order):
+        return none
+    # words beyond an item's end are in no document and never looked up
+    count = np.concatenate((np.diff(begin)[items.term], np.zeros(width, np.int64)))
+    item = np.concatenate((items.item, np.full(width, -1)))
+    at = np.arange(m)[:, None] + np.arange(width)
+    seen = np.where(item[at] == items.item[:, None], count[at], 0)
+    alive = (seen > 0).sum(axis=1) >= RUN
+    at, seen = at[alive], seen[alive]
+    # the commonest RUN - SURE words of a stretch are left out; the rest that occur are looked up
+    ranked = np.argsort(seen, axis=1, kind="stable")[:, : width - (RUN - SURE)]
+    anchors = np.unique(np.take_along_axis(at, ranked, 1)[np.take_along_axis(seen, ranked, 1) > 0])
+    n = count[anchors]
+    q = np.repeat(anchors, n)
+    p = order[np.repeat(begin[items.term[anchors]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    # sorted by diagonal and word of the item
+    key = np.sort((p - q + m) * m + q)
+    far = np.flatnonzero(key[SURE - 1 :] - key[: len(key) - SURE + 1] < width) if len(key) >= SURE else np.zeros(0, np.int64)
+    q, last, d = key[far] % m, key[far + SURE - 1] % m, key[far] // m - m
+    ok = (key[far + SURE - 1] // m - m == d) & (items.item[q] == items.item[last]) & (doc[q + d] == doc[last + d])
+    q, low, d = q[ok], last[ok] - width + 1, d[ok]
+    found = [none]
+    for k in range(0, len(q), 20000):
+        # all words on the diagonal, in every stretch that holds these hits
+        own = slice(k, k + 20000)
+        b = low[own, None] + np.arange(2 * width - 1)
+        a = b + d[own, None]
+        inside = (b >= 0) & (b < m) & (a >= 0) & (a < len(term)) & (b < q[own, None] + width)
+        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+        equal = inside & (term[a] == items.term[b]) & (items.item[b] == items.item[q[own], None]) & (doc[a] == doc[q[own] + d[own], None])
+        total = np.pad(np.cumsum(equal, axis=1), ((0, 0), (1, 0)))
+        most = (total[:, width:] - total[:, :-width]).max(axis=1)
+        hit = np.flatnonzero(most >= RUN)
+        found.append(pd.DataFrame({"doc": doc[(q + d)[own][hit]], "item": items.item[q[own][hit]], "near": most[hit]}))
+    return pd.concat(found).groupby(["doc", "item"], as_index=False)["near"].max()
+
+
+def find(docs: DataFrame, items: DataFrame, run: int = RUN, gap: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = ITEMS, proximity: bool = False) -> DataFrame:
+    """(doc_id, item_id, longest, words, item_words, near) of each document that holds ``run`` consecutive words of an item
+    or, with ``proximity``, a proximity match of it; ``longest`` and ``words`` are of such runs, 0 if there are none."""
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     n = wanted.count()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -117,8 +187,11 @@ def find(docs: DataFrame, items: DataFrame, run: int = RUN, gap: int = 10, id_co
                 for lo, hi in tx.blocks(texts):
                     h, doc, _, _ = tx.words(*tx.points(texts[lo:hi]))
                     runs = search(h, doc, query)
-                    if len(runs):
-                        out = _report(runs, gap)
+                    out = _report(runs, gap)
+                    if proximity:
+                        out = out.merge(near_words(h, doc, query), "outer", on=["doc", "item"], suffixes=("", "_too")).fillna(0).astype(np.int64)
+                        out["near"] = np.maximum(out["near"], out["near_too"])
+                    if len(out):
                         yield pd.DataFrame({
                             "doc_id": ids[lo:hi][out["doc"]], "item_id": query.ids[out["item"]], "longest": out["longest"],
                             "words": out["words"], "item_words": query.length[out["item"]], "near": out["near"],

@@ -126,8 +126,8 @@ def p8_found(spark, d) -> DataFrame:
 
 @query("p8_leaks")
 def p8_leaks(spark, d) -> DataFrame:
-    """Exact and proximity matches from runs of eight words on."""
-    found = leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), run=8)
+    """Runs of eight words on, and proximity matches of any runs."""
+    found = leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), run=8, proximity=True)
     kind = F.when(F.col("longest") >= leaks.RUN, "exact").when(F.col("near") >= leaks.RUN, "proximity").otherwise("fragment")
     return found.withColumn("kind", kind)
 

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,41 @@ def test_leaks(spark):
     assert leaks.find(df.limit(0), ev).count() == 0 and leaks.find(df, ev.limit(0)).count() == 0
 
 
+def near_plain(d, t, most=26):
+    """Most words of a stretch of the item that stand at the same distances in the text; by trying all."""
+    equal = {g: [0 <= q + g < len(d) and d[q + g] == t[q] for q in range(len(t))] for g in range(-len(t), len(d))}
+    return max((sum(e[k : k + most]) for e in equal.values() for k in range(len(t))), default=0)
+
+
+def test_edited_passages_are_proximity_matches(spark):
+    rng = random.Random(8)
+    vocabulary = ["the", "of", *(f"w{i}" for i in range(40))]
+    items = [(k, [f"i{k}x{rng.randrange(30)}" if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate((40, 30, 20, 13, 12))]
+    texts = []
+    for k in range(60):
+        w = list(items[k % 5][1])
+        for at in range(k % 7, len(w), 2 + k % 4):
+            w[at : at + 1] = [["edited"], [*w[at : at + 1], "more"], []][k // 5 % 3]
+        if k % 11 == 0:
+            rng.shuffle(w)
+        texts.append([rng.choice(vocabulary) for _ in range(rng.randrange(30))] + w + [rng.choice(vocabulary) for _ in range(rng.randrange(30))])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    found = leaks.find(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"), run=8, proximity=True).collect()
+    got = {(r["doc_id"], r["item_id"]): r["near"] for r in found if r["longest"] < 8}
+    want = {(d, i): n for d, w in enumerate(texts) for i, t in items if (n := near_plain(w, t)) >= 13}
+    runs = {(r["doc_id"], r["item_id"]) for r in found if r["longest"] >= 8}
+    assert got == {k: n for k, n in want.items() if k not in runs} and len(got) >= 10
+    assert all(r["near"] >= want.get((r["doc_id"], r["item_id"]), 0) for r in found)
+
+
+def test_runs_of_other_diagonals_do_not_break_a_chain():
+    def near(*runs):
+        return leaks._report(pd.DataFrame([(0, 0, *r) for r in runs], columns=["doc", "item", "p", "q", "n"]), 10)["near"].tolist()
+
+    assert near((0, 0, 8), (0, 50, 8), (9, 9, 8)) == [16] and near((0, 0, 8), (12, 0, 8), (20, 0, 8)) == [8]
+    assert near((0, 0, 8), (8, 0, 8), (300, 290, 9)) == [17] and near((0, 0, 8)) == [8]
+
+
 # --- 9 quality ----------------------------------------------------------------
 
 
