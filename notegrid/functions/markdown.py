@@ -23,7 +23,7 @@ _TASK = re.compile(r"\[(.)\](?=\s)[ \t]*")
 _TICKS = re.compile(r"`+")
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
 _TAG = re.compile(r"<(?:/?[A-Za-z][^<>]*|!--.*?--|[?!][^>]*)>", re.S)
-_WIKI = re.compile(r"\[\[((?:[^\[\]|\\]|\\.){1,1000})(?:\|((?:[^\[\]|\\]|\\.){0,1000}))?\]\]", re.S)
+_WIKI = re.compile(r"\[\[((?:[^\[\]|\\]++|\\.)++)(?:\|((?:[^\[\]|\\]++|\\.)*+))?\]\]", re.S)  # possessive: linear without a bound
 _TARGET = re.compile(r"\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
 _PLAIN = re.compile(r"[^\\`<\[\]!&*_\n#]+")
 _STRONG = re.compile(r"(?<![\w*])(\*{1,3}|_{1,3})(?=\S)(.+?)(?<=\S)\1(?!\w)", re.S)

@@ -72,3 +72,10 @@ def test_section_keeps_every_character_of_its_lines():
     assert section("# O\n\n## Lines\n", "lines") == "" and section("# O\n\n## Lines", "lines") == "" and section("# A\nx\n\n", "a") == "x\n\n"
     assert section("# A\r\nx\x0cy z\r\n\n# B\rw", "a") == "x\x0cy z\r\n\n" and section("# A\r\nx\n# B\rw", "b") == "w"
     assert section("Two\nlines\n=====\nbody\n# C\n", "two-lines") is None and section("Two\nlines\n=====\nbody\n# C\n", "twolines") == "body\n"
+
+
+def test_references_of_any_length():
+    name, alias = "n" * 70_000, r"a\]" * 2000
+    assert kinds(f"[[{name}]] #[[t/{name}]] ![[{name}#h]]") == [("link", name, None, None), ("tag", f"t/{name}", None, None), ("embed", name, "h", None)]
+    assert kinds(f"[[n|{alias}]]") == [("link", "n", None, "a]" * 2000)]
+    assert kinds("[[" + "a" * 500_000) == [] and kinds("[[a" * 100 + r"\]" * 50_000) == []
