@@ -59,17 +59,17 @@ def embed_edges(notes: DataFrame, parsed: DataFrame) -> DataFrame:
     return rows.join(notes.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi")
 
 
-def closure(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(pairs: DataFrame) -> DataFrame:
     """Distinct (root, reached) over one or more steps; cycles end as no pair comes twice.
 
-    Semi-naive: each round joins only the pairs that are new, and keeps keys, not texts."""
+    Semi-naive: each round joins only the pairs that are new to all found so far, which doubles the depth, until none is
+    new; it keeps keys, not texts."""
     step = written(pairs.select(F.col("src"), F.col("dst")).distinct(), "step")
     fresh = step.select(F.col("src").alias("root"), F.col("dst").alias("reached"))
     found = fresh
-    for _ in range(rounds):
-        on = fresh.join(step, fresh["reached"] == step["src"]).select("root", F.col("dst").alias("reached")).distinct()
+    while True:
+        on = fresh.join(found.select(F.col("root").alias("src"), F.col("reached").alias("dst")), F.col("reached") == F.col("src")).select("root", F.col("dst").alias("reached")).distinct()
         fresh = written(on.join(found, ["root", "reached"], "left_anti"), "fresh")
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh)
-    raise RuntimeError(f"embeds are nested more than {rounds} deep")

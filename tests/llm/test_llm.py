@@ -115,6 +115,12 @@ def test_trie_equals_all_pairs():
     assert len(got) == len(i)
 
 
+def test_components_run_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "range", lambda n: range(1), raising=False)  # a limit of rounds, if it comes back, is one
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    assert {tuple(r) for r in neardup.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
 # --- 2 splitting --------------------------------------------------------------
 
 

@@ -165,3 +165,11 @@ def test_embeds_are_expanded_whatever_their_size(spark, monkeypatch):
     assert "end0" in page and "end1" in page and "end2" in page and "tail" in page
     assert page.count("embed-missing") == 4 and '<div class="embed-missing">gone</div>' in page and '<div class="embed-missing">long3</div>' in page
     assert html["notes/empty.html"].count("embed") == 0
+
+
+def test_embed_closure_has_no_greatest_depth(spark):
+    n = 130
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(n)], "src string, dst string")
+    assert rows(graph.closure(chain)) == [(f"{i:03}", f"{j:03}") for i in range(n) for j in range(i + 1, n + 1)]
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 9)) for i in range(9)], "src string, dst string")
+    assert graph.closure(ring).count() == 81
