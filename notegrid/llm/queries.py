@@ -21,12 +21,29 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("p1_found")
+WORDS_SQL = "regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+_SETS_SQL = f"""
+w AS (SELECT note_id, {WORDS_SQL.format(text="concat(title, chr(10), md_text)")} AS w FROM (SELECT DISTINCT note_id, coalesce(title, '') AS title, coalesce(md_text, '') AS md_text FROM wiki_notes)),
+g AS (SELECT DISTINCT note_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+n AS (SELECT note_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.note_id AS a, b.note_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.note_id < b.note_id GROUP BY 1, 2),
+pairs AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM c JOIN n na ON na.note_id = a JOIN n nb ON nb.note_id = b WHERE c * 10 >= (na.n + nb.n - c) * 6)
+"""
+
+
+@query("p1_found", f"WITH {_SETS_SQL} SELECT a AS note_id_a, b AS note_id_b FROM pairs")
 def p1_found(spark, d) -> DataFrame:
     return neardup.expand(*neardup.near_duplicates(table(spark, d, "wiki_notes")))
 
 
-@query("p1_groups")
+@query("p1_groups", f"""
+WITH RECURSIVE {_SETS_SQL},
+m AS (SELECT n.note_id, least(n.note_id, min(CASE WHEN same THEN a END)) AS class_id FROM n LEFT JOIN pairs ON b = n.note_id GROUP BY n.note_id),
+k AS (SELECT class_id, count(*) AS copies FROM m GROUP BY 1),
+l AS (SELECT a, b FROM pairs JOIN k x ON x.class_id = a JOIN k y ON y.class_id = b WHERE NOT same),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+r AS (SELECT class_id AS x, class_id AS y FROM k UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT note_id, m.class_id, (SELECT min(y) FROM r WHERE r.x = m.class_id) AS group_id, copies, (SELECT count(*) FROM e WHERE e.x = m.class_id) AS links FROM m JOIN k ON k.class_id = m.class_id""")
 def p1_groups(spark, d) -> DataFrame:
     return neardup.groups(table(spark, d, "wiki_notes"))
 

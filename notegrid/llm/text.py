@@ -99,11 +99,19 @@ def words(cp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     start, end = runs(alnum[cp])
     power, back = _powers(len(cp) + 1)
     total = np.zeros(len(cp) + 1, U)
-    np.cumsum(mix(lower[cp].astype(U) + U(7)) * power[: len(cp)], out=total[1:])
+    low = lower[cp]
+    last = end[cp[end - 1] == 0x3A3] - 1  # a sigma that ends a word of more letters is written in its final form
+    low[last[np.isin(last, start, invert=True) & is_letter(cp, last - 1)]] = 0x3C2
+    np.cumsum(mix(low.astype(U) + U(7)) * power[: len(cp)], out=total[1:])
     h = mix((total[end] - total[start]) * back[start])
     return h, np.searchsorted(begin, start, "right") - 1, start, end
 
 
+def is_letter(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Does a letter with case stand at the places?"""
+    return np.array([(c := chr(cp[k])).lower() != c.upper() for k in at], bool)
+
+
 def hash_word(word: str) -> int:
     """The hash ``words`` gives to a single word."""
     h = words(*points([word]))[0]

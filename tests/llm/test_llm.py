@@ -32,6 +32,7 @@ VOCABULARY = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("n", "s", "l
 
 def test_words_match_a_plain_reading():
     texts = ["", None, "Ünï_x ﬁ 12a--b", "A" * 50, "日本 ガタ　x\n", "😀".encode("utf-16", "surrogatepass").decode("utf-16") + "z", "é é"]
+    texts.append("ΟΔΟΣ Σ ΑΣΑ 1Σ ΣΣ, οδος")
     h, doc, start, end = text.words(*text.points(texts))
     got = [[] for _ in texts]
     cp, begin = text.points(texts)
@@ -39,6 +40,7 @@ def test_words_match_a_plain_reading():
         got[d].append("".join(map(chr, cp[a:b])).lower())
     assert got == [words(t) for t in texts]
     assert h[list(doc).index(3)] == np.uint64(text.hash_word("a" * 50))
+    assert text.hash_word("ΟΔΟΣ") == text.hash_word("οδος") != text.hash_word("οδοσ") and text.hash_word("1Σ") == text.hash_word("1σ")
 
 
 def test_blocks_cover_all_and_keep_long_texts_whole():
@@ -80,8 +82,12 @@ def test_near_duplicates(spark, monkeypatch):
     want = near_pairs(rows)
     got = [tuple(r) for r in neardup.expand(*neardup.near_duplicates(df)).collect()]
     assert set(got) == want and len(got) == len(want) > 50
-    monkeypatch.setattr(neardup.candidates, "__defaults__", (2,))  # all routes of more than two notes go through cells
-    assert {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df)).collect()} == want
+    monkeypatch.setattr(neardup, "CELL", 2)
+    monkeypatch.setattr(neardup, "DEPTH", 1)  # tops of more than two notes are cut into cells
+    assert {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df), block=2).collect()} == want
+    monkeypatch.setattr(neardup, "DEPTH", 2)  # they grow once, then cells
+    grown = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df)).collect()}
+    assert grown <= want and len(grown) > 0.98 * len(want)
     per = {r["note_id"]: r for r in neardup.groups(df).collect()}
     assert set(per) == {i for i, t, b in rows if i is not None and len(words(f"{t or ''} {b or ''}")) > 2}
     parent = {i: i for i in per}
@@ -105,14 +111,34 @@ def test_near_duplicates_of_nothing(spark):
 def test_trie_equals_all_pairs():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
-    sketch[100:200] = sketch[:100] ^ (np.uint64(1) << rng.integers(0, 63, (100, 4)).astype(np.uint64))
+    for _ in range(9):
+        sketch[100:200] = (sketch[:100] if _ == 0 else sketch[100:200]) ^ (np.uint64(1) << rng.integers(0, 63, (100, 4)).astype(np.uint64))
     sketch[200:220] = sketch[5]
-    route = np.arange(300) % 3
-    route[200:220] = 2
-    i, j = neardup.trie_pairs(route, sketch, 20)
-    got = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())}
-    assert got == {(a, b) for a, b in combinations(range(300), 2) if route[a] == route[b] and np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= 20}
-    assert len(got) == len(i)
+    top = np.arange(300) % 3
+    top[100:200] = top[:100]
+    top[200:220] = 2
+    for turn in (0, 20):
+        count = {}
+        i, j = neardup.trie_pairs(top, sketch, turn, count=count)
+        first = [(int(x) << turn | int(x) >> (64 - turn)) & (1 << 64) - 1 for x in sketch[:, 0]]
+
+        def near(a, b):
+            along = [((first[a] ^ first[b]) >> 63 - d).bit_count() <= neardup.LIMITS[d] for d in (7, 15, 23, 31, 47, 63)]
+            errors = np.cumsum(np.bitwise_count(sketch[a] ^ sketch[b]))
+            return all(along) and all(errors <= neardup.WORDS)
+
+        got = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())}
+        wide = {(a, b) for a, b in combinations(range(300), 2) if top[a] == top[b] and near(a, b)}
+        tight = {(a, b) for a, b in wide if all(((first[a] ^ first[b]) >> 63 - d).bit_count() <= neardup.LIMITS[d] for d in range(64))}
+        assert tight <= got <= wide and len(got) == len(i) > 200
+        assert count["past"] < count["leaves"] < count["below"]
+
+
+def test_similar_pairs_stay_below_the_limits():
+    rng = np.random.default_rng(2)
+    walks = (rng.random((20000, 64)) < 0.2).cumsum(axis=1)
+    assert (walks <= neardup.LIMITS).all(axis=1).mean() > 0.95 and (walks[:, -1] <= neardup.LIMITS[-1]).mean() > 0.999
+    assert ((rng.random((20000, 64)) < 0.5).cumsum(axis=1) <= neardup.LIMITS).all(axis=1).mean() < 0.02
 
 
 def test_components_run_until_nothing_changes(spark, monkeypatch):
