@@ -5,11 +5,13 @@ other characters. A text over the capacity is cut into full containers and a
 rest; nothing else is split. Pieces are spread over cells of about ``CELL``
 pieces by hash (one cell wastes at most about one container), and each cell is
 packed by itself: best fit of falling sizes, then moves and swaps (one for one,
-two for one) that raise the sum of squared fills until the emptiest containers
-dissolve or nothing improves.
+two for one) between underfull containers. A step is made only if it raises the
+sum of squared fills, so containers empty out; the search ends when no step
+does, or when there are no more containers than the sizes need.
 
 A null or empty text has no tokens and is in no container. Equal sizes keep the
-order of their ids, so a result is the same on every run.
+order of their ids, so a result is the same on every run. A repeated id is as
+many texts.
 """
 
 from __future__ import annotations
@@ -76,84 +78,87 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     return rows.mapInPandas(run, "id bigint, tokens bigint")
 
 
-def fill(size: list[int], capacity: int = CAPACITY, passes: int = 30) -> list[int]:
-    """Number of the container of each item (sizes from 1 to the capacity)."""
-    bins: list[list[tuple[int, int]]] = []  # of (size, item), rising
-    room: list[tuple[int, int]] = []  # (room left, bin), rising; full bins aren't in it
-    left: list[int] = []
-
-    def put(b: int, s: int, k: int) -> None:
-        if left[b] and (at := bisect_left(room, (left[b], b))) < len(room) and room[at] == (left[b], b):
-            room.pop(at)
-        insort(bins[b], (s, k))
-        left[b] -= s
-        if left[b]:
-            insort(room, (left[b], b))
-
-    def take(b: int, s: int, k: int) -> None:
-        if left[b]:
-            room.pop(bisect_left(room, (left[b], b)))
-        bins[b].remove((s, k))
-        left[b] += s
-        insort(room, (left[b], b))
-
+def best_fit(size: list[int], capacity: int = CAPACITY) -> np.ndarray:
+    """Number of the container of each item, largest first into the least room that holds it."""
+    number, room = np.zeros(len(size), np.int64), []  # (room left, container), rising
+    n = 0
     for k in sorted(range(len(size)), key=lambda i: (-size[i], i)):
         at = bisect_left(room, (size[k], -1))
-        if at < len(room):
-            put(room[at][1], size[k], k)
-        else:
-            bins.append([])
-            left.append(capacity)
-            insort(room, (capacity, len(bins) - 1))
-            put(len(bins) - 1, size[k], k)
-
-    def improve(a: int) -> bool:
-        """Empty the underfull bin ``a`` into fuller ones; each step raises the sum of squared fills."""
-        changed = False
-        for s, k in sorted(bins[a], reverse=True):
-            if (s, k) not in bins[a]:
-                continue
-            at = bisect_left(room, (s, -1))
-            while at < len(room) and room[at][1] == a:
-                at += 1
-            if at < len(room):  # move
-                b = room[at][1]
-                take(a, s, k), put(b, s, k)
-                changed = True
-                continue
-            for gap, b in room[:]:
-                if b == a or left[b] != gap or gap >= left[a]:
-                    continue
-                own = bins[b]
-                i = bisect_left(own, (s - gap, -1))
-                if i < len(own) and own[i][0] < s:  # one for one: own item goes to a, s to b
-                    t, j = own[i]
-                    take(a, s, k), take(b, t, j)
-                    put(b, s, k), put(a, t, j)
-                    changed = True
-                    break
-                more = next(((x, y) for x, y in bins[a] if (x, y) != (s, k) and bisect_left(own, (s + x - gap, -1)) < len(own)), None)
-                if more:  # two for one
-                    i = bisect_left(own, (s + more[0] - gap, -1))
-                    t, j = own[i]
-                    if t < s + more[0] and t <= left[a] + s + more[0]:
-                        take(a, s, k), take(a, *more), take(b, t, j)
-                        put(b, s, k), put(b, *more), put(a, t, j)
-                        changed = True
-                        break
-        return changed
-
-    for _ in range(passes):
-        low = [b for _, b in reversed(room) if bins[b]][: max(8, len(bins) // 50)]
-        if not any([improve(b) for b in low if bins[b]]):
-            break
-    number = [0] * len(size)
-    for b, own in enumerate(x for x in bins if x):
-        for _, k in own:
-            number[k] = b
+        left, b = room.pop(at) if at < len(room) else (capacity, n)
+        n = max(n, b + 1)
+        number[k] = b
+        if left > size[k]:
+            insort(room, (left - size[k], b))
     return number
 
 
+class Search:
+    """Local search on one cell; ``load`` of each container, ``number`` of each item's container."""
+
+    def __init__(self, size: list[int], number: np.ndarray, capacity: int) -> None:
+        self.size, self.number, self.capacity = np.array(size, np.int64), number.copy(), capacity
+        self.load = np.bincount(number, weights=self.size, minlength=1).astype(np.int64)
+        self.least = -(-int(self.size.sum()) // capacity)
+
+    def used(self) -> int:
+        return int(np.count_nonzero(self.load))
+
+    def step(self, a: int) -> bool:
+        """The first kind of step out of container ``a`` that raises the sum of squares, the best of its kind."""
+        load, here = self.load, self.load[self.number]
+        own = np.flatnonzero(self.number == a)
+        own = own[np.unique(self.size[own], return_index=True)[1][::-1]]  # one item of each size, largest first
+        # move: the whole item is gained by the other container
+        gap = np.where((load > 0) & (load < self.capacity), self.capacity - load, -1)
+        gap[a] = -1
+        for k in own:
+            ok = np.flatnonzero((gap >= self.size[k]) & (load + self.size[k] > load[a]))
+            if len(ok):
+                return self._apply(a, [k], int(ok[gap[ok].argmin()]), [])
+        others = np.flatnonzero((here < self.capacity) & (self.number != a))
+        if self._swap(a, [[k] for k in own], others):
+            return True
+        own = np.flatnonzero(self.number == a)
+        x, y = np.triu_indices(len(own), 1)
+        first = np.unique(self.size[own[x]] + self.size[own[y]], return_index=True)[1]
+        return self._swap(a, np.stack([own[x[first]], own[y[first]]], axis=1).tolist(), others)
+
+    def _swap(self, a: int, given: list[list[int]], others: np.ndarray) -> bool:
+        """One item of another container for the ones given: the best exchange, if there is any."""
+        best, choice = 0, None
+        t, load = self.size[others], self.load[self.number[others]]
+        for items in given:
+            d = self.size[items].sum() - t
+            gain = np.where((d > 0) & (load + d <= self.capacity), d * (load + d - self.load[a]), 0)
+            if len(gain) and gain.max() > best:
+                best, choice = int(gain.max()), (items, int(others[gain.argmax()]))
+        return choice is not None and self._apply(a, choice[0], int(self.number[choice[1]]), [choice[1]])
+
+    def _apply(self, a: int, give: list[int], b: int, get: list[int]) -> bool:
+        d = int(self.size[give].sum() - self.size[get].sum())
+        self.number[give], self.number[get] = b, a
+        self.load[a] -= d
+        self.load[b] += d
+        return True
+
+    def run(self) -> np.ndarray:
+        """Sweeps over the underfull containers from the emptiest on, until a sweep has no step."""
+        moved = True
+        while moved and self.used() > self.least:
+            moved = False
+            for a in np.flatnonzero((self.load > 0) & (self.load < self.capacity))[np.argsort(self.load[(self.load > 0) & (self.load < self.capacity)], kind="stable")]:
+                while 0 < self.load[a] < self.capacity and self.step(int(a)):
+                    moved = True
+                if self.used() == self.least:
+                    break
+        return np.unique(self.number, return_inverse=True)[1]
+
+
+def fill(size: list[int], capacity: int = CAPACITY) -> np.ndarray:
+    """Number of the container of each item (sizes from 1 to the capacity)."""
+    return Search(size, best_fit(size, capacity), capacity).run() if len(size) else np.zeros(0, np.int64)
+
+
 def pack(sized: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
     """(doc_id, piece, tokens, container, fill) from (id, tokens); ``piece`` counts the parts of a text from 0."""
     sized = written(sized.where("tokens > 0"), "sizes")
@@ -166,7 +171,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFr
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "piece"], ignore_index=True)
-        number = np.array(fill(pdf["tokens"].tolist(), capacity))
+        number = fill(pdf["tokens"].tolist(), capacity)
         total = np.bincount(number, weights=pdf["tokens"]).astype(np.int64)
         return pdf.assign(container=[f"c-{key[0]}-{b}" for b in number], fill=total[number])[["id", "piece", "tokens", "container", "fill"]]
 
@@ -175,5 +180,12 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFr
 
 
 def larger_than_container(packed: DataFrame) -> DataFrame:
-    """Ids of the texts that had to be split."""
-    return packed.where("piece > 0").select("doc_id").distinct()
+    """Ids of the texts whose pieces lie in more than one container."""
+    return packed.groupBy("doc_id").agg(F.min("piece").alias("first"), F.max("piece").alias("last")).where("last > first").select("doc_id")
+
+
+def audit(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, tokens, pieces, wrong): what was packed of each text, and its pieces in containers that are overfull or whose stated fill is wrong."""
+    load = packed.groupBy("container").agg(F.sum("tokens").alias("load"))
+    rows = packed.join(load, "container").withColumn("wrong", ((F.col("load") > capacity) | (F.col("load") != F.col("fill"))).cast("bigint"))
+    return rows.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.sum("wrong").alias("wrong"))

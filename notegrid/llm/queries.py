@@ -124,11 +124,20 @@ def p6_listings(spark, d) -> DataFrame:
     return terms.listing_audit(table(spark, d, "wiki_notes"), table(spark, d, "tag_counts"))
 
 
-@query("p7_found")
+_TOKENS_SQL = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}\\x{0B}\\x{1C}-\\x{1F}\\x{85}]+'))"
+
+
+@query("p7_found", f"SELECT doc_id FROM documents WHERE {_TOKENS_SQL} > 1024")
 def p7_found(spark, d) -> DataFrame:
     return pack.larger_than_container(pack.pack(pack.sizes(table(spark, d, "documents"))))
 
 
+@query("p7_audit", f"SELECT doc_id, n AS tokens, (n + 1023) // 1024 AS pieces, 0 AS wrong FROM (SELECT doc_id, {_TOKENS_SQL} AS n FROM documents) WHERE n > 0")
+def p7_audit(spark, d) -> DataFrame:
+    """What the packing holds of each text, and how many of its pieces lie in wrongly filled containers."""
+    return pack.audit(pack.pack(pack.sizes(table(spark, d, "documents"))))
+
+
 @query("p7_containers")
 def p7_containers(spark, d) -> DataFrame:
     """Containers by the byte-level tokenizer; its file's path is the Spark setting notegrid.tokenizer where set."""

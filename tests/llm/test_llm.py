@@ -255,18 +255,58 @@ def test_term_counts(spark, monkeypatch):
 # --- 7 packing ----------------------------------------------------------------
 
 
+def loads(number, size):
+    load = Counter()
+    for b, s in zip(number, size):
+        load[int(b)] += s
+    return load
+
+
 def test_fill_is_valid_and_tight():
     rng = random.Random(9)
     size = [min(1024, max(1, int(rng.expovariate(1 / 250)))) for _ in range(2000)]
-    number = pack.fill(size)
-    load = Counter()
-    for b, s in zip(number, size):
-        load[b] += s
+    load = loads(pack.fill(size), size)
     assert max(load.values()) <= 1024 and len(load) <= 1.01 * sum(size) / 1024 + 1
-    assert pack.fill([]) == [] and len(set(pack.fill([1024] * 3))) == 3 and len(set(pack.fill([600] * 3))) == 3
+    assert len(pack.fill([])) == 0 and len(set(pack.fill([1024] * 3))) == 3 and len(set(pack.fill([600] * 3))) == 3
     assert len(set(pack.fill([6, 5, 5, 4], 10))) == 2
 
 
+def test_search_empties_containers_and_ends_where_no_step_raises_the_squares():
+    rng = random.Random(10)
+    for n in range(30):
+        size = [rng.randrange(150, 400) for _ in range(rng.randrange(1, 120))] + ([1] * 50 if n == 0 else [])
+        start = pack.best_fit(size)
+        search = pack.Search(size, start, 1024)
+        squares = [sum(x * x for x in search.load.tolist())]
+        step = search._apply
+
+        def counted(*a):
+            done = step(*a)
+            squares.append(sum(x * x for x in search.load.tolist()))
+            return done
+
+        search._apply = counted
+        load = loads(search.run(), size)
+        assert max(load.values()) <= 1024 and sum(load.values()) == sum(size) and sorted(load.values()) == sorted(x for x in search.load.tolist() if x)
+        assert all(a < b for a, b in zip(squares, squares[1:]))
+        assert len(load) <= len(set(start.tolist()))
+        if len(load) > search.least:  # no move, no swap is left: by trying all
+            fill, own = search.load, {b: [k for k in range(len(size)) if search.number[k] == b] for b in load}
+            own = {b: [k for k in range(len(size)) if search.number[k] == b] for b in set(search.number.tolist())}
+            for a in own:
+                for b in own:
+                    if a != b and fill[a] < 1024 and fill[b] < 1024:
+                        give = [[k] for k in own[a]] + [list(p) for p in combinations(own[a], 2)]
+                        get = [[], *[[k] for k in own[b]]]
+                        for x in give:
+                            for y in get:
+                                d = sum(size[k] for k in x) - sum(size[k] for k in y)
+                                if (len(x) == 1 or y) and d > 0 and fill[b] + d <= 1024:
+                                    assert fill[b] + d <= fill[a]
+    hard = [rng.randrange(200, 500) for _ in range(1500)]
+    assert len(set(pack.fill(hard))) < len(set(pack.best_fit(hard)))
+
+
 def test_pack(spark):
     docs = [(1, "a " * 3000), (2, "b_c!? d"), (3, ""), (4, None), (5, "x " * 1024), (6, "  \n"), (None, "q " * 5000), (7, "é" * 100000)]
     df = spark.createDataFrame([(*r, "z") for r in docs], "doc_id bigint, text string, tokens string")
