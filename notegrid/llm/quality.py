@@ -1,15 +1,21 @@
 """Text quality statistics and a line model that tells prose from lists, tables and junk.
 
-Each line becomes one of ``SYMBOLS`` symbols (how it begins, how it ends, its
-share of signs, its words and how many of them are common) and each end of a
-text one for the limits the text breaks. A hidden Markov model with the states prose, list,
-table and junk is fitted here: one pass counts neighbouring symbols over all
-documents (a table of a fixed size), and expectation-maximisation on those
-counts fits the transition and emission tables from a stated start. A second
-pass decodes the best label of every line and adds up the label shares.
+Each line that isn't blank becomes one of ``SYMBOLS`` symbols: how it begins and
+ends, its share of signs, its words, their length and how many of them are
+common. A hidden Markov model with the states prose, list, table and junk is
+fitted here by forward-backward passes over the lines of all documents, from a
+start stated in the code that weighs as ``PRIOR`` of the lines, until the
+likelihood rises by less than ``GAIN`` a line. What prose never writes (list and
+table lines, stubs, heaps of names) has no chance in the start and so keeps
+none; the measures of the whole text have no part in the model. The best label
+of every line gives the shares of the labels.
+
+The text is read once: measures and symbols are written as a table, which the
+passes read.
 
 Nulls: a null or empty text has no pieces, lines or words; its means and shares
-are 0, so it counts as short, of short pieces and without sentence ends.
+are 0, so it counts as short, of short pieces and without sentence ends. Rows
+with a null id are left out, a repeated row is measured each time.
 """
 
 from __future__ import annotations
@@ -21,15 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from notegrid.llm import text as tx
+from notegrid.plans.scratch import written
 
 STATES = ("prose", "list", "table", "junk")
 SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN = 4, 2, 3, 3, 3, 3
-LINES = 1 + SHAPES * ENDS * SIGNS * COUNTS * LENGTHS * KNOWN
-#: After its lines each text has one symbol for its end, by the limits it breaks (none, one, more); its emissions are fixed.
-ENDINGS = 3
-_SIGN_STEPS, _COUNT_STEPS, _LENGTH_STEPS, _KNOWN_STEPS = (0.1, 0.2), (4, 9), (3.5, 8.5), (1e-9, 0.15)
-SYMBOLS = LINES + ENDINGS
-_ENDINGS = np.array([[0.7, 0.2995, 0.0005], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6], [0.1, 0.3, 0.6]])
+SYMBOLS = SHAPES * ENDS * SIGNS * COUNTS * LENGTHS * KNOWN
+_SIGN_STEPS, _COUNT_STEPS, _LENGTH_STEPS, _KNOWN_STEPS = (0.1, 0.2), (5, 9), (3.5, 8.5), (1e-9, 0.15)
+PRIOR, GAIN = 0.02, 1e-4
+#: The common words go to every task; a longer list is refused.
+MOST_WORDS = 1_000_000
 
 
 class Lines:
@@ -82,7 +88,7 @@ class Lines:
         opened = total((cp == ord("[")) & np.concatenate((cp[1:] == ord("["), [False])))
         linked = opened[hi] - opened[lo]
         heading = (first == ord("#")) & np.isin(second, (32, ord("#")))
-        shape = np.where(heading, 3, np.where(table & (linked < 3), 2, np.where(bullet | (linked >= 3) & (linked * 6 >= line_words), 1, 0)))
+        shape = np.where(heading, 3, np.where(table & (linked < 3), 2, np.where(bullet | (linked >= 1) & (linked * 6 >= line_words), 1, 0)))
         in_line = np.searchsorted(lo, w0, "right") - 1
         all_words, common_words = np.bincount(in_line, minlength=len(lo)), np.bincount(in_line, weights=known, minlength=len(lo))
         share = line_signs / np.maximum(1, self.line_chars)
@@ -95,144 +101,194 @@ class Lines:
         self.mean, self.sign_share = part(self.chars, self.pieces), part(self.signs, self.chars)
         self.ended, self.known = part(self.ends, self.lines), part(self.common, self.words)
         self.flags = (self.pieces < 30).astype(np.int64) + ((self.mean < 3.5) | (self.mean > 8.5)) + (self.sign_share > 0.2) + (self.ended < 0.4) + (self.known < 0.15)
-        doc = np.concatenate((self.line_doc[keep], np.arange(self.n)))
-        order = np.argsort(doc, kind="stable")
-        self.line_doc = doc[order]
-        self.line_chars = np.concatenate((np.where(heading, 0, self.line_chars)[keep], np.zeros(self.n, np.int64)))[order]
-        self.symbol = np.concatenate((1 + code[keep], LINES + np.minimum(self.flags, ENDINGS - 1)))[order]
+        self.line_doc, self.symbol = self.line_doc[keep], code[keep]
+        self.line_chars = np.where(heading, 0, self.line_chars)[keep]
+
+
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def start_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stated start: first, transition and emission tables."""
-    emit = np.full((4, SYMBOLS), 1e-4)
-    for s, (shape, end, sign, count, length, known) in enumerate(np.ndindex(SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN), 1):
+def start_model() -> Model:
+    """Stated start: chances of the first state, of the next one, of the end after a state, and of the symbols of a state."""
+    emit = np.zeros((4, SYMBOLS))
+    for s, (shape, end, sign, count, length, known) in enumerate(np.ndindex(SHAPES, ENDS, SIGNS, COUNTS, LENGTHS, KNOWN)):
         even = length == 1
-        emit[0, s] = (3, 0.1, 0.02, 2)[shape] * (1, 3)[end] * (4, 1, 0.1)[sign] * (0.5, 2, 4)[count] * (3 if even else 0.3) * (0.05, 0.2, 4)[known]
-        if shape != 3 and not end and (count < 2 or known < 2):  # a stub or a heap of words
-            emit[0, s] *= 0.05
+        emit[0, s] = (3, 0, 0, 2)[shape] * (1, 3)[end] * (4, 1, 0.1)[sign] * (0.5, 2, 4)[count] * (3 if even else 0.3) * (0.05, 0.2, 4)[known]
+        if shape == 0 and (not end and count == 0 or known == 0 and (count == 2 or not end or sign == 2)):  # a stub or a heap of names
+            emit[0, s] = 0
         emit[1, s] = (0.3, 4, 0.1, 2)[shape] * (2, 1)[end] * (2, 2, 1)[sign] * (2, 2, 1)[count] * (2 if even else 0.7) * (1.5, 1, 1)[known]
         emit[2, s] = (0.02, 0.05, 8, 2)[shape] * (2, 0.1)[end] * (0.5, 1, 2)[sign] * (0.7, 1, 2)[count] * (2, 1, 0.3)[known]
         emit[3, s] = (1, 0.3, 0.3, 2)[shape] * (2, 0.5)[end] * (0.5, 1, 3)[sign] * (2, 1, 1)[count] * (0.7 if even else 3) * (4, 1, 0.1)[known]
-    emit[:, 1:LINES] /= emit[:, 1:LINES].sum(axis=1, keepdims=True)
-    emit[:, LINES:] = _ENDINGS
-    move = np.full((4, 4), 0.04) + np.eye(4) * 0.84
-    return np.array([0.55, 0.15, 0.15, 0.15]), move, emit
-
-
-def fit(pairs: np.ndarray, first: np.ndarray, rounds: int = 25, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation-maximisation on counts of neighbouring symbols; the start model weighs as ``prior`` of the counts."""
-    begin, move, emit = start_model()
-    b0, m0, e0 = begin.copy(), move.copy(), emit.copy()
-    total = max(1.0, float(pairs.sum() + first.sum()))
-    x, y = np.nonzero(pairs)
-    n = pairs[x, y].astype(float)
-    stay = begin.copy()
-    for _ in range(rounds):
-        joint = (stay[:, None, None] * move[:, :, None]) * emit[:, x][:, None, :] * emit[:, y][None, :, :]
-        joint *= n / np.maximum(joint.sum(axis=(0, 1)), 1e-300)
-        head = begin[:, None] * emit
-        head *= first / np.maximum(head.sum(axis=0), 1e-300)
-        left, right = joint.sum(axis=1), joint.sum(axis=0)
-        new = np.zeros_like(emit)
-        for k in range(4):
-            new[k] = np.bincount(x, left[k], SYMBOLS) + np.bincount(y, right[k], SYMBOLS) + head[k]
-        emit = new + e0 * prior * total
-        emit[:, :LINES] /= emit[:, :LINES].sum(axis=1, keepdims=True)
-        emit[:, LINES:] = _ENDINGS
-        move = joint.sum(axis=2) + m0 * prior * total
-        stay = left.sum(axis=1) + b0 * prior * total
-        stay /= stay.sum()
-        move /= move.sum(axis=1, keepdims=True)
-        begin = head.sum(axis=1) + b0 * prior * total
-        begin /= begin.sum()
-    return begin, move, emit
-
-
-def decode(symbol: np.ndarray, doc: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    emit /= emit.sum(axis=1, keepdims=True)
+    end = np.array([0.1, 0.1, 0.1, 0.3])
+    return np.array([0.55, 0.15, 0.15, 0.15]), (np.full((4, 4), 0.04) + np.eye(4) * 0.84) * (1 - end)[:, None], end, emit
+
+
+class Steps:
+    """Lines of the texts of a block, taken in step: the k-th lines of all texts that have so many."""
+
+    def __init__(self, symbol: np.ndarray, doc: np.ndarray) -> None:
+        self.symbol = symbol
+        self.first = np.flatnonzero(np.diff(doc, prepend=-1))
+        size = np.diff(np.append(self.first, len(doc)))
+        order = np.argsort(-size, kind="stable")
+        self.at, size = self.first[order], size[order]
+        self.live = [*np.searchsorted(-size, -np.arange(1, size[0] + 1), "right").tolist(), 0] if len(size) else [0]
+
+    def place(self, k: int) -> np.ndarray:
+        return self.at[: self.live[k]] + k
+
+
+def expect(symbol: np.ndarray, doc: np.ndarray, model: Model) -> np.ndarray:
+    """Expected counts by a forward and a backward pass: 4 first states, 16 moves, 4 ends, 4 x SYMBOLS symbols, and the log likelihood."""
+    out = np.zeros(25 + 4 * SYMBOLS)
+    if not len(symbol):
+        return out
+    begin, move, end, emit = model
+    steps, n = Steps(symbol, doc), len(symbol)
+    ahead, scale, like = [], [], 0.0
+    for k in range(len(steps.live) - 1):
+        chance = emit[:, symbol[steps.place(k)]].T
+        a = (ahead[-1][: steps.live[k]] @ move if k else begin) * chance
+        scale.append(a.sum(axis=1, keepdims=True))
+        ahead.append(a / scale[-1])
+        like += float(np.log(scale[-1]).sum())
+    moves, ends, state = np.zeros((4, 4)), np.zeros(4), np.zeros((n, 4))
+    after = np.zeros((0, 4))
+    for k in range(len(steps.live) - 2, -1, -1):
+        now, more = steps.live[k], steps.live[k + 1]
+        back = np.empty((now, 4))
+        back[more:] = end
+        come = emit[:, symbol[steps.place(k + 1)]].T * after / scale[k + 1] if more else after
+        back[:more] = come @ move.T
+        both = ahead[k] * back
+        total = both.sum(axis=1, keepdims=True)
+        both /= total
+        state[steps.place(k)] = both
+        moves += move * ((ahead[k][:more] / total[:more]).T @ come)
+        ends += both[more:].sum(axis=0)
+        like += float(np.log(total[more:]).sum())
+        after = back
+    out[:4], out[4:20], out[20:24], out[24] = state[steps.first].sum(axis=0), moves.ravel(), ends, like
+    out[25:] = np.concatenate([np.bincount(symbol, state[:, k], SYMBOLS) for k in range(4)])
+    return out
+
+
+def fitted(counts: np.ndarray, start: Model, prior: float = PRIOR) -> Model:
+    """The model of expected counts; the start weighs as ``prior`` of them."""
+    begin, move, end, emit = start
+    texts, lines = counts[:4].sum() * prior, counts[25:].sum() * prior / 4
+    begin = counts[:4] + texts * begin
+    move, end = counts[4:20].reshape(4, 4) + lines * move, counts[20:24] + lines * end
+    emit = counts[25:].reshape(4, SYMBOLS) + lines * emit
+    leave = move.sum(axis=1) + end
+    return begin / begin.sum(), move / leave[:, None], end / leave, emit / emit.sum(axis=1, keepdims=True)
+
+
+def decode(symbol: np.ndarray, doc: np.ndarray, model: Model) -> np.ndarray:
     """Best state of each line (Viterbi), all texts of the block in step."""
-    begin, move, emit = (np.log(x) for x in model)
-    stay = np.where(np.eye(4, dtype=bool), 0.0, -np.inf)  # the end of a text belongs to its last line's state
     out = np.zeros(len(symbol), np.int64)
     if not len(symbol):
         return out
-    at = np.flatnonzero(np.diff(doc, prepend=-1))
-    size = np.diff(np.append(at, len(doc)))
-    order = np.argsort(-size, kind="stable")
-    at, size = at[order], size[order]
-    score = begin + emit[:, symbol[at]].T
+    with np.errstate(divide="ignore"):
+        begin, move, end, emit = (np.log(x) for x in model)
+    steps = Steps(symbol, doc)
+    score = begin + emit[:, symbol[steps.place(0)]].T
     back: list[np.ndarray] = []
-    finals = np.zeros(len(at), np.int64)
-    live = len(at)
-    for k in range(1, int(size[0]) + 1):
-        now = int(np.count_nonzero(size > k)) if k < size[0] else 0
-        finals[now:live] = score[now:live].argmax(axis=1)
-        if not now:
-            break
-        here = symbol[at[:now] + k]
-        ways = score[:now, :, None] + np.where((here >= LINES)[:, None, None], stay, move)
-        back.append(ways.argmax(axis=1).astype(np.int8))
-        score = ways.max(axis=1) + emit[:, here].T
-        live = now
-    state = finals.copy()
-    for k in range(int(size[0]) - 1, -1, -1):
-        now = int(np.count_nonzero(size > k))
-        out[at[:now] + k] = state[:now]
+    final = np.zeros(steps.live[0], np.int64)
+    for k in range(len(steps.live) - 1):
+        more = steps.live[k + 1]
+        final[more : steps.live[k]] = (score[more:] + end).argmax(axis=1)
+        if more:
+            ways = score[:more, :, None] + move
+            back.append(ways.argmax(axis=1).astype(np.int8))
+            score = ways.max(axis=1) + emit[:, symbol[steps.place(k + 1)]].T
+    for k in range(len(steps.live) - 2, -1, -1):
+        at = steps.place(k)
+        out[at] = final[: len(at)]
         if k:
-            state[:now] = back[k - 1][np.arange(now), state[:now]]
+            final[: len(at)] = back[k - 1][np.arange(len(at)), final[: len(at)]]
     return out
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+_MEASURES = "doc_id bigint, pieces bigint, mean_length double, symbol_ratio double, ended_lines double, common_share double, words bigint, lines bigint, flags int"
+
 
+def _common(words: DataFrame) -> np.ndarray:
+    if words.count() > MOST_WORDS:
+        raise ValueError(f"a list of common words has at most {MOST_WORDS:,} entries")
+    rows = words.select("word").where("word is not null").distinct().collect()
+    return np.unique(np.array([tx.hash_word(r["word"]) for r in rows], np.uint64))
 
-def train(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model, from the counts of all documents; at most SYMBOLS * (SYMBOLS + 1) numbers come to the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)  # row 0: first line of a text
+def _measured(docs: DataFrame, common_words: DataFrame, id_col: str, text_col: str, with_lines: bool) -> DataFrame:
+    common = _common(common_words)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf["text"].tolist()
+            texts, ids = pdf["text"].tolist(), pdf["id"].to_numpy()
             for lo, hi in tx.blocks(texts):
                 x = Lines(texts[lo:hi], common)
-                before = np.concatenate(([0], x.symbol[:-1]))
-                before[np.diff(x.line_doc, prepend=-1) != 0] = 0
-                np.add.at(pairs, (before, x.symbol), 1)
-        a, b = np.nonzero(pairs)
-        yield pd.DataFrame({"a": a, "b": b, "n": pairs[a, b]})
+                out = pd.DataFrame({
+                    "doc_id": ids[lo:hi], "pieces": x.pieces, "mean_length": x.mean, "symbol_ratio": x.sign_share, "ended_lines": x.ended, "common_share": x.known,
+                    "words": x.words, "lines": x.lines, "flags": x.flags})
+                if with_lines:
+                    cut = np.searchsorted(x.line_doc, np.arange(1, x.n))
+                    out["symbol"], out["chars"] = np.split(x.symbol.astype(np.int16), cut), np.split(x.line_chars, cut)
+                yield out
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    return rows.mapInPandas(measure, _MEASURES + (", symbol array<smallint>, chars array<bigint>" if with_lines else ""))
+
+
+def measures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: measures of the text, and ``flags``: how many of the five limits it breaks."""
+    return _measured(docs, common_words, id_col, text_col, False)
+
+
+def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    size = pdf["symbol"].map(len).to_numpy(np.int64)
+    flat = np.concatenate(pdf["symbol"].tolist()) if size.sum() else np.zeros(0, np.int64)
+    return flat.astype(np.int64), np.repeat(np.arange(len(pdf)), size)
 
-    counts = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-    for r in _rows(docs, id_col, text_col).mapInPandas(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        counts[r["a"], r["b"]] = r["n"]
-    first = counts[0].copy()
-    counts[0] = 0
-    return fit(counts, first)
+
+def train(lines: DataFrame) -> Model:
+    """The model, by passes over the symbols of all texts; each brings its expected counts, 25 + 4 * SYMBOLS numbers, to the driver."""
+    start = model = start_model()
+    before = None
+    while True:
+
+        def count(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
+            total = np.zeros(25 + 4 * SYMBOLS)
+            for pdf in batches:
+                total += expect(*_flat(pdf), model)
+            yield pd.DataFrame({"k": np.flatnonzero(total), "n": total[total != 0]})
+
+        counts = np.zeros(25 + 4 * SYMBOLS)
+        for r in lines.select("symbol").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            counts[r["k"]] = r["n"]
+        if not counts[25:].any():
+            return start
+        model, like = fitted(counts, start), counts[24] / counts[25:].sum()
+        if before is not None and like - before < GAIN:
+            return model
+        before = like
 
 
 def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: measures of the text, ``flags`` (how many of the five limits it breaks) and the share of its characters in lines of each label."""
-    if common_words.count() > 100_000:
-        raise ValueError("a list of common words has at most 100,000 entries")
-    words = {r["word"] for r in common_words.select("word").where("word is not null").distinct().collect()}
-    common = np.unique(np.array([tx.hash_word(w) for w in words], np.uint64))
-    model = train(docs, common, id_col, text_col)
+    """``measures`` and the share of each text's characters in lines of each label; lines of headings don't weigh."""
+    lines = written(_measured(docs, common_words, id_col, text_col, True), "lines")
+    model = train(lines)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["id"].to_numpy()
-            for lo, hi in tx.blocks(texts):
-                x = Lines(texts[lo:hi], common)
-                state = decode(x.symbol, x.line_doc, model)
-                weight = np.zeros((4, x.n))
-                np.add.at(weight, (state, x.line_doc), x.line_chars)
-                labelled = weight.sum(axis=0)
-                part = lambda a, b: a / np.maximum(1, b)
-                yield pd.DataFrame({
-                    "doc_id": ids[lo:hi], "pieces": x.pieces, "mean_length": x.mean, "symbol_ratio": x.sign_share, "ended_lines": x.ended, "common_share": x.known, "words": x.words,
-                    "lines": x.lines, "flags": x.flags, **{s: part(weight[k], labelled) for k, s in enumerate(STATES)}})
-
-    shares = ", ".join(f"{s} double" for s in STATES)
-    return _rows(docs, id_col, text_col).mapInPandas(measure, f"doc_id bigint, pieces bigint, mean_length double, symbol_ratio double, ended_lines double, common_share double, words bigint, lines bigint, flags int, {shares}")
+            symbol, doc = _flat(pdf)
+            weight = np.zeros((4, len(pdf)))
+            np.add.at(weight, (decode(symbol, doc, model), doc), np.concatenate([*pdf["chars"].tolist(), np.zeros(0, np.int64)]))
+            total = np.maximum(1, weight.sum(axis=0))
+            yield pdf.drop(columns=["symbol", "chars"]).assign(**{s: weight[k] / total for k, s in enumerate(STATES)})
+
+    return lines.mapInPandas(label, _MEASURES + "".join(f", {s} double" for s in STATES))
 
 
 def not_prose(stats: DataFrame, flags: int = 2, prose: float = 0.5) -> DataFrame:

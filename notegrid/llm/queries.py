@@ -163,6 +163,24 @@ def p9_found(spark, d) -> DataFrame:
     return quality.not_prose(quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words")))
 
 
-@query("p9_statistics")
+_BLANK = "\\s\\p{Z}\\x{0B}\\x{1C}-\\x{1F}\\x{85}"
+
+
+@query("p9_statistics", f"""
+WITH c AS (SELECT list(DISTINCT word) AS c FROM common_words WHERE word IS NOT NULL),
+x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+y AS (SELECT doc_id, len(regexp_extract_all(t, '[^{_BLANK}]+')) AS pieces, length(regexp_replace(t, '[{_BLANK}]', '', 'g')) AS ink, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}{_BLANK}]', '', 'g')) AS signs,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS l, {WORDS_SQL.format(text="t")} AS w FROM x),
+z AS (SELECT doc_id, pieces, ink / greatest(1, pieces) AS mean_length, signs / greatest(1, ink) AS symbol_ratio, len(list_filter(l, lambda x: regexp_matches(x, '[.!?][{_BLANK}]*$'))) / greatest(1, len(l)) AS ended_lines,
+        len(list_filter(w, lambda x: list_contains(c, x))) / greatest(1, len(w)) AS common_share, len(w) AS words, len(l) AS lines FROM y, c)
+SELECT doc_id, pieces, round(mean_length, 9) AS mean_length, round(symbol_ratio, 9) AS symbol_ratio, round(ended_lines, 9) AS ended_lines, round(common_share, 9) AS common_share, words, lines,
+  (pieces < 30)::INT + (mean_length < 3.5 OR mean_length > 8.5)::INT + (symbol_ratio > 0.2)::INT + (ended_lines < 0.4)::INT + (common_share < 0.15)::INT AS flags FROM z""")
 def p9_statistics(spark, d) -> DataFrame:
+    rows = quality.measures(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("mean_length", "symbol_ratio", "ended_lines", "common_share")})
+
+
+@query("p9_labels")
+def p9_labels(spark, d) -> DataFrame:
+    """The measures, and the share of each text in lines of prose, lists, tables and junk."""
     return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))

@@ -4,7 +4,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -428,13 +428,18 @@ def test_statistics(spark):
     assert quality.statistics(df.limit(0), common.limit(0)).count() == 0
 
 
-def test_decode_equals_one_by_one():
+def lines_of_texts():
     rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 9, 120))
+    return rng.integers(0, quality.SYMBOLS, 120), doc
+
+
+def test_decode_equals_one_by_one():
+    symbol, doc = lines_of_texts()
     model = quality.start_model()
-    doc = np.sort(rng.integers(0, 9, 200))
-    symbol = rng.integers(1, quality.LINES, 200)
     got = quality.decode(symbol, doc, model)
-    begin, move, emit = (np.log(x) for x in model)
+    with np.errstate(divide="ignore"):
+        begin, move, end, emit = (np.log(x) for x in model)
     for d in np.unique(doc):
         s = symbol[doc == d]
         score, back = begin + emit[:, s[0]], []
@@ -442,13 +447,41 @@ def test_decode_equals_one_by_one():
             ways = score[:, None] + move
             back.append(ways.argmax(0))
             score = ways.max(0) + emit[:, x]
-        path = [int(score.argmax())]
+        path = [int((score + end).argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         assert got[doc == d].tolist() == path[::-1]
     assert len(quality.decode(symbol[:0], doc[:0], model)) == 0
 
 
+def test_expected_counts_equal_the_sum_over_all_paths():
+    symbol, doc = lines_of_texts()
+    symbol, doc = np.concatenate([symbol[doc == d][:4] for d in range(9)]), np.concatenate([doc[doc == d][:4] for d in range(9)])
+    model = begin, move, end, emit = quality.start_model()
+    want = np.zeros(25 + 4 * quality.SYMBOLS)
+    for d in np.unique(doc):
+        s = symbol[doc == d]
+        paths = list(product(range(4), repeat=len(s)))
+        chance = [begin[p[0]] * np.prod([move[a, b] for a, b in zip(p, p[1:])]) * np.prod([emit[k, x] for k, x in zip(p, s)]) * end[p[-1]] for p in paths]
+        for p, c in zip(paths, np.array(chance) / sum(chance)):
+            want[p[0]] += c
+            want[20 + p[-1]] += c
+            for a, b in zip(p, p[1:]):
+                want[4 + 4 * a + b] += c
+            for k, x in zip(p, s):
+                want[25 + k * quality.SYMBOLS + x] += c
+        want[24] += np.log(sum(chance))
+    got = quality.expect(symbol, doc, model)
+    assert np.allclose(got, want)
+    like, model = [got[24]], quality.fitted(got, model, 0.0)
+    for _ in range(5):
+        got = quality.expect(symbol, doc, model)
+        like.append(got[24])
+        model = quality.fitted(got, model, 0.0)
+    assert all(a <= b + 1e-9 for a, b in zip(like, like[1:])) and (model[3][0][quality.start_model()[3][0] == 0] == 0).all()
+    assert not quality.expect(symbol[:0], doc[:0], model).any()
+
+
 # --- queries ------------------------------------------------------------------
 
 
