@@ -13,8 +13,6 @@ without a begin never counts, one without an end is open.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -51,15 +49,17 @@ def spans(parents: DataFrame, key: str = "key", begin: str = "begin", end: str =
     return merged.select("key", "begin", F.when(F.col("end") < far, F.col("end")).alias("end"))
 
 
-def missing_at(children: DataFrame, parents: DataFrame, at: str, ids: Sequence[str]) -> DataFrame:
-    """Children (key, ``at``, ``ids``, ...) for which no parent (key, begin, end) is alive at their time.
+def missing_at(children: DataFrame, parents: DataFrame, at: str) -> DataFrame:
+    """Children (key, ``at``, ...) for which no parent (key, begin, end) is alive at their time.
 
-    Parents and children are united and grouped by key: a group holds its merged spans and no child. Children meet
-    the group in a join that adaptive execution splits where a key is hot."""
-    alive = spans(parents).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    long = tagged("p", children, F.col("key"), False).unionByName(tagged("p", alive, F.col("key"), True))
-    none = orphan_keys(long).select("key", F.lit(True).alias("orphan"))
-    state = none.join(alive, "key", "full")
+    Parents' spans and children are united and grouped by key (children combine before the shuffle), so a group holds
+    its few disjoint spans and whether there is a parent at all. Children of a group without one are orphans; the others
+    are held against its spans, in a join that adaptive execution splits where a key is hot."""
+    alive = spans(parents).select("key", F.struct("begin", "end").alias("span"))
+    long = tagged("p", children, F.col("key"), False).withColumn("span", F.lit(None).cast(alive.schema["span"].dataType))
+    long = long.unionByName(alive.select(F.lit("p").alias("parent"), "key", F.lit(1).alias("is_parent"), F.lit(None).cast("string").alias("period"), "span"))
+    groups = long.groupBy("key").agg(F.max("is_parent").alias("has"), F.collect_list("span").alias("spans"))
     when = F.col(at).cast("timestamp_ntz")
     here = F.exists("spans", lambda s: (s["begin"] <= when) & (s["end"].isNull() | (s["end"] > when)))
-    return children.join(state, "key").where(F.coalesce(F.col("orphan"), F.lit(False)) | when.isNull() | ~F.coalesce(here, F.lit(False))).drop("orphan", "spans")
+    groups = groups.withColumnRenamed("key", "own")
+    return children.join(groups, F.col("key").eqNullSafe(F.col("own"))).where((F.col("has") == 0) | when.isNull() | ~F.coalesce(here, F.lit(False))).drop("has", "spans", "own")

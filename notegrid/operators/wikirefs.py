@@ -53,7 +53,7 @@ def missing_refs(notes: DataFrame, refs: DataFrame, headings: DataFrame) -> Data
     rows = ref_rows(refs)
     key = exact_key(F.col("ctx"), F.col("title"))
     parents = notes.select(key.alias("key"), F.col("created_at").alias("begin"), F.col("deleted_at").alias("end"))
-    gone = orphans.missing_at(rows, parents, "seen_at", ["ref_id"]).select("period", "ref_id", "target")
+    gone = orphans.missing_at(rows, parents, "seen_at").select("period", "ref_id", "target")
     known = headings.select("note_id", plain_words(F.col("text")).alias("words")).distinct().join(notes.select("note_id", key.alias("key")).distinct(), "note_id")
     asked = rows.where("words is not null")
     pair = F.concat_ws("\n", "key", "words")

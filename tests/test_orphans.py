@@ -41,3 +41,17 @@ def test_spans_merge(spark):
     rows = [("k", D(2024, 1, 1), D(2024, 1, 10)), ("k", D(2024, 1, 5), D(2024, 1, 20)), ("k", D(2024, 2, 1), None), ("k", D(2024, 3, 1), None), ("k", None, None), ("k", D(2024, 1, 20), D(2024, 1, 21))]
     got = sorted(tuple(x)[1:] for x in orphans.spans(spark.createDataFrame(rows, "key string, begin timestamp, end timestamp")).collect())
     assert got == [(D(2024, 1, 1), D(2024, 1, 21)), (D(2024, 2, 1), None)]
+
+
+def test_missing_at_holds_each_child_against_the_spans_of_its_group(spark):
+    from datetime import datetime
+
+    def day(n):
+        return datetime(2024, 1, n)
+
+    parents = spark.createDataFrame([("a", day(2), day(5)), ("a", day(4), day(6)), ("a", day(9), None), ("b", None, None), ("c", day(5), day(5)), (None, day(3), None)], "key string, begin timestamp_ntz, end timestamp_ntz")
+    asked = [("a", 1), ("a", 2), ("a", 5), ("a", 6), ("a", 8), ("a", 20), ("b", 3), ("c", 5), ("z", 3), (None, 2), (None, 3), ("a", None)] + [("a", 3)] * 50
+    children = spark.createDataFrame([(k, day(n) if n else None, i) for i, (k, n) in enumerate(asked)], "key string, at timestamp_ntz, id int")
+    got = {r["id"] for r in orphans.missing_at(children, parents, "at").collect()}
+    assert got == {i for i, (k, n) in enumerate(asked[:12]) if (k, n) in {("a", 1), ("a", 6), ("a", 8), ("b", 3), ("c", 5), ("z", 3), (None, 2), ("a", None)}}
+    assert orphans.missing_at(children.limit(0), parents, "at").count() == 0 and orphans.missing_at(children, parents.limit(0), "at").count() == len(asked)
