@@ -61,7 +61,13 @@ def p2_found(spark, d) -> DataFrame:
 
 @query("p2_pieces")
 def p2_pieces(spark, d) -> DataFrame:
-    return split.split_oversized(table(spark, d, "wiki_notes"), table(spark, d, "headings")).drop("long_sections")
+    return split.split_oversized(table(spark, d, "wiki_notes"), table(spark, d, "headings")).drop("sections")
+
+
+@query("p2_rebuilt", "SELECT note_id, md5(md_text) AS digest, 0 AS over, 0 AS unled FROM wiki_notes WHERE length(md_text) > 4000")
+def p2_rebuilt(spark, d) -> DataFrame:
+    """The pieces of each note put together again, and whether they keep the limit and the overlap."""
+    return split.rebuilt(split.split_oversized(table(spark, d, "wiki_notes"), table(spark, d, "headings")))
 
 
 @query("p3_found")
@@ -145,15 +151,19 @@ def p7_containers(spark, d) -> DataFrame:
     return pack.pack(pack.sizes(table(spark, d, "documents"), count=pack.tokenizer_tokens(path)))
 
 
-@query("p8_found")
+@query("p8_found", f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format(text="text")} AS w FROM documents), v AS (SELECT item_id, {WORDS_SQL.format(text="text")} AS w FROM eval_items),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)),
+h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM v, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h ON g.g = h.g""")
 def p8_found(spark, d) -> DataFrame:
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.find(leaks.index(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 @query("p8_leaks")
 def p8_leaks(spark, d) -> DataFrame:
     """Runs of eight words on, and proximity matches of any runs."""
-    found = leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), run=8, proximity=True)
+    found = leaks.find(leaks.index(table(spark, d, "documents")), table(spark, d, "eval_items"), run=8, proximity=True)
     kind = F.when(F.col("longest") >= leaks.RUN, "exact").when(F.col("near") >= leaks.RUN, "proximity").otherwise("fragment")
     return found.withColumn("kind", kind)
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,22 +86,20 @@ def pieces(text: str, levels: dict[int, int], limit: int = LIMIT, overlap: int =
     return [(starts[k], stop[k]) for k in range(n) if alive[k]]
 
 
-def long_sections(text: str, lines: list[int], limit: int = LIMIT) -> list[int]:
-    """Lines of the headings whose own section is over the limit."""
-    begin, pos = {}, 0
-    wanted = set(lines)
+def line_starts(text: str, lines: set[int]) -> tuple[list[int], list[int]]:
+    """Those of the lines that the text has, rising, and where each begins."""
+    known, begin, pos = [], [], 0
     for line, raw in enumerate(text.split("\n"), 1):
-        if line in wanted:
-            begin[line] = pos
+        if line in lines:
+            known.append(line), begin.append(pos)
         pos += len(raw) + 1
-    known = sorted(begin)
-    ends = [*(begin[x] for x in known[1:]), len(text)]
-    return [x for x, e in zip(known, ends) if e - begin[x] > limit]
+    return known, begin
 
 
 def split_oversized(notes: DataFrame, headings: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
     """One row a piece: note_id, piece, pieces, start, stop, lead (where its overlap begins), line of its start, text with
-    overlap (null without ``with_text``), and long_sections: the lines of the note's headings whose section is over the limit."""
+    overlap (null without ``with_text``), and sections: of each heading whose own section has a part in the piece its line
+    and how many characters of the section lie in the pieces so far."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     notes = notes.where("note_id is not null")
@@ -114,20 +113,33 @@ def split_oversized(notes: DataFrame, headings: DataFrame, limit: int = LIMIT, o
             rows = []
             for note, text, known in zip(pdf["note_id"], pdf["md_text"], pdf["heads"]):
                 levels = {int(x["line"]): min(6, max(1, int(x["level"]))) for x in known} if known is not None else {}
-                long = long_sections(text, list(levels), limit)
+                lines, begin = line_starts(text, set(levels))
+                end = [*begin[1:], len(text)]
                 cut = pieces(text, levels, limit, overlap)
-                line = 1
+                line, at = 1, 0
                 for k, (a, b) in enumerate(cut):
                     lead = max(0, a - overlap) if k else a
-                    rows.append((note, k, len(cut), a, b, lead, line, text[lead:b] if with_text else None, long))
+                    while at < len(lines) and end[at] <= a:
+                        at += 1
+                    here = [(lines[i], min(b, end[i]) - begin[i]) for i in range(at, bisect_left(begin, b))]
+                    rows.append((note, k, len(cut), a, b, lead, line, text[lead:b] if with_text else None, here))
                     line += text.count("\n", a, b)
-            yield pd.DataFrame(rows, columns=["note_id", "piece", "pieces", "start", "stop", "lead", "line", "text", "long_sections"])
+            yield pd.DataFrame(rows, columns=["note_id", "piece", "pieces", "start", "stop", "lead", "line", "text", "sections"])
 
     return big.join(heads, "note_id", "left").mapInPandas(
-        run, "note_id bigint, piece int, pieces int, start bigint, stop bigint, lead bigint, line int, text string, long_sections array<int>")
+        run, "note_id bigint, piece int, pieces int, start bigint, stop bigint, lead bigint, line int, text string, sections array<struct<line:int,chars:bigint>>")
 
 
 def oversized(notes: DataFrame, headings: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(note_id, line): line 0 for each split note, and the line of each heading whose own section is over the limit."""
-    out = split_oversized(notes, headings, limit, with_text=False).where("piece = 0")
-    return out.select("note_id", F.explode(F.concat(F.array(F.lit(0)), "long_sections")).alias("line")).distinct()
+    """(note_id, line): line 0 for each note in more than one piece, and the line of each heading of whose own section the pieces hold more than the limit."""
+    out = split_oversized(notes, headings, limit, with_text=False).where("pieces > 1")
+    long = F.transform(F.filter("sections", lambda x: x["chars"] > limit), lambda x: x["line"])
+    return out.select("note_id", F.explode(F.concat(F.array(F.lit(0)), long)).alias("line")).distinct()
+
+
+def rebuilt(pieces_of: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(note_id, digest, over, unled): digest of the text put together again, pieces over the limit, and pieces not led in by the overlap."""
+    own = F.substring("text", F.col("start") - F.col("lead") + 1, F.length("text"))
+    unled = (F.col("piece") > 0) & (F.col("start") - F.col("lead") != F.least(F.lit(overlap), "start"))
+    rows = pieces_of.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("piece", own.alias("own")))).alias("x"), F.sum((F.length("text") > limit).cast("bigint")).alias("over"), F.sum(unled.cast("bigint")).alias("unled"))
+    return rows.select("note_id", F.md5(F.array_join("x.own", "")).alias("digest"), "over", "unled")

@@ -2,10 +2,13 @@
 
 A task puts its terms into a trie whose leaves are small containers; a
 container that grows beyond ``BURST`` bursts into a node, so prefixes are as
-long as the terms need. The partial tries are written as sorted runs of
-(route, term, counters), routed by ranges of the term (ranges adapt to how
-often prefixes occur), and matching subtrees are merged where they meet. A trie
-of ``HELD`` terms is passed on and a new one begun, so memory is bounded.
+long as the terms need. Its subtrees are written as rows: the prefix of a
+container and its suffixes with their counters. From the sizes of all of them
+follow the prefixes below which too many terms lie for one task; a subtree is
+sent by the shortest prefix that is none of these (a container above such a
+prefix is cut), and the subtrees of one prefix are merged into one trie where
+they meet. A trie of ``HELD`` terms is passed on and a new one begun, so memory
+is bounded.
 
 A null list or term is left out, the empty string is a term. A term counts each
 time it occurs, and once for each record that holds it.
@@ -14,7 +17,7 @@ time it occurs, and once for each record that holds it.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -69,58 +72,135 @@ class Trie:
             node[0].setdefault(suffix[0], {})[suffix[1:]] = own
         return node
 
-    def walk(self) -> Iterator[tuple[str, str, int, int]]:
-        """(route, term, occurrences, records) in rising order of terms; route: the prefix that leads to the container."""
+    def containers(self) -> Iterator[tuple[str, list[str], list[int], list[int]]]:
+        """(prefix, suffixes, occurrences, records) of each container in rising order of prefixes; a term that ends at a node is the suffix ""."""
         stack: list[tuple[str, list | dict]] = [("", self.root)]
         while stack:
             prefix, at = stack.pop()
             if isinstance(at, dict):
-                for suffix in sorted(at):
-                    yield prefix, prefix + suffix, *at[suffix]
+                if at:
+                    suffixes = sorted(at)
+                    yield prefix, suffixes, [at[x][0] for x in suffixes], [at[x][1] for x in suffixes]
             else:
                 if at[1] is not None:
-                    yield prefix, prefix, *at[1]
+                    yield prefix, [""], [at[1][0]], [at[1][1]]
                 stack.extend((prefix + c, at[0][c]) for c in sorted(at[0], reverse=True))
 
+    def merge(self, prefix: str, suffixes: Iterable[str], occurrences: Iterable[int], records: Iterable[int]) -> None:
+        """Take over a subtree: at once where its prefix leads to a container here, else term by term."""
+        at: list | dict | None = self.root
+        for k in range(len(prefix)):
+            if not isinstance(at, list):
+                break
+            at = at[0].get(prefix[k])
+        else:
+            if isinstance(at, dict) and prefix:
+                before = len(at)
+                for x, n, m in zip(suffixes, occurrences, records):
+                    own = at.setdefault(x, [0, 0])
+                    own[0] += n
+                    own[1] += m
+                self.size += len(at) - before
+                if len(at) > BURST:
+                    self._replace(prefix, self._burst(at))
+                return
+        for x, n, m in zip(suffixes, occurrences, records):
+            self.add(prefix + x, n, m)
+
+    def _replace(self, prefix: str, by: list) -> None:
+        node = self.root
+        for c in prefix[:-1]:
+            node = node[0][c]
+        node[0][prefix[-1]] = by
 
-_COLUMNS = ["route", "term", "occurrences", "records"]
+
+def _rows(tries: Iterable[Trie]) -> Iterator[pd.DataFrame]:
+    for trie in tries:
+        rows = list(trie.containers())
+        for k in range(0, len(rows), 5000):
+            yield pd.DataFrame(rows[k : k + 5000], columns=["prefix", "suffixes", "occurrences", "records"])
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie = Trie()
+    def tries() -> Iterator[Trie]:
+        trie = Trie()
+        for pdf in batches:
+            for items in pdf["items"]:
+                if items is None:
+                    continue
+                items = [x for x in items if x is not None]
+                for term, n in (Counter(items) if len(set(items)) < len(items) else dict.fromkeys(items, 1)).items():
+                    trie.add(term, n, 1)
+                if trie.size >= HELD:
+                    yield trie
+                    trie = Trie()
+        if trie.size:
+            yield trie
+
+    yield from _rows(tries())
+
+
+_SUBTREE = "prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>"
+
+
+def crowded(subtrees: DataFrame, parts: int) -> set[str]:
+    """Prefixes with more terms below them than a quarter of a task's share; each length has at most 4 * ``parts`` of them."""
+    total = subtrees.agg(F.sum(F.size("suffixes"))).collect()[0][0] or 0
+    each = subtrees.select(F.explode(F.expr("transform(sequence(0, length(prefix)), i -> substring(prefix, 1, i))")).alias("p"), F.size("suffixes").alias("n"))
+    return {r["p"] for r in each.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > max(BURST, total // (4 * parts))).collect()}
+
+
+def route(term: str, full: set[str]) -> str | None:
+    """The shortest prefix of the term that isn't crowded; None if all are."""
+    return next((term[:k] for k in range(len(term) + 1) if term[:k] not in full), None)
+
+
+def _routed(batches: Iterator[pd.DataFrame], full: set[str]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for items in pdf["items"]:
-            if items is None:
+        rows = []
+        for prefix, suffixes, occurrences, records in zip(pdf["prefix"], pdf["suffixes"], pdf["occurrences"], pdf["records"]):
+            if (to := route(prefix, full)) is not None:
+                rows.append((to, prefix, suffixes, occurrences, records))
                 continue
-            items = [x for x in items if x is not None]
-            for term, n in (Counter(items) if len(set(items)) < len(items) else dict.fromkeys(items, 1)).items():
-                trie.add(term, n, 1)
-            if trie.size >= HELD:
-                yield pd.DataFrame(trie.walk(), columns=_COLUMNS)
-                trie = Trie()
-    if trie.size:
-        yield pd.DataFrame(trie.walk(), columns=_COLUMNS)
-
-
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs come sorted by term: equal paths of different tries are neighbours."""
-    rest = None
+            cut: dict[str, list[int]] = {}
+            for k, x in enumerate(suffixes):
+                to = route(prefix + x, full)
+                cut.setdefault(prefix + x if to is None else to, []).append(k)
+            rows += [(to, prefix, suffixes[own], occurrences[own], records[own]) for to, own in cut.items()]
+        yield pd.DataFrame(rows, columns=["route", "prefix", "suffixes", "occurrences", "records"])
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Subtrees come sorted by route: those of one route are merged into one trie."""
+    at, trie = None, Trie()
+
+    def out() -> Iterator[pd.DataFrame]:
+        for part in _rows([trie]):
+            flat = part.explode(["suffixes", "occurrences", "records"])
+            yield pd.DataFrame({"term": flat["prefix"] + flat["suffixes"], "occurrences": flat["occurrences"].astype("int64"), "records": flat["records"].astype("int64")})
+
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        pdf = pdf.groupby("term", sort=False, as_index=False)[["occurrences", "records"]].sum()
-        rest = pdf.iloc[-1:]
-        if len(pdf) > 1:
-            yield pdf.iloc[:-1]
-    if rest is not None and len(rest):
-        yield rest
+        for to, *subtree in zip(*(pdf[c] for c in ("route", "prefix", "suffixes", "occurrences", "records"))):
+            if to != at:
+                held += out()
+                at, trie = to, Trie()
+                if sum(map(len, held)) > 20000:
+                    yield pd.concat(held)
+                    held = []
+            trie.merge(*subtree)
+    held += out()
+    if held:
+        yield pd.concat(held)
 
 
 def term_counts(rows: DataFrame, items: str) -> DataFrame:
     """(term, occurrences, records) of every term in the list column ``items``."""
-    runs = rows.select(F.col(items).alias("items")).where(F.size("items") > 0).mapInPandas(_count, "route string, term string, occurrences bigint, records bigint")
-    runs = written(runs, "tries").select("term", "occurrences", "records")
+    subtrees = written(rows.select(F.col(items).alias("items")).where(F.size("items") > 0).mapInPandas(_count, _SUBTREE), "tries")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(parts, "term").sortWithinPartitions("term").mapInPandas(_merge, "term string, occurrences bigint, records bigint")
+    full = crowded(subtrees, parts)
+    sent = subtrees.mapInPandas(lambda it: _routed(it, full), "route string, " + _SUBTREE)
+    return sent.repartition(parts, "route").sortWithinPartitions("route").mapInPandas(_merged, "term string, occurrences bigint, records bigint")
 
 
 def marked(rows: DataFrame, items: str, rare: int = 2, common: float = 0.1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 import unicodedata
 from collections import Counter
 from itertools import combinations, product
@@ -235,9 +236,31 @@ def test_trie_counts(monkeypatch):
         t = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 9)))
         trie.add(t, 2, 1)
         want[t] += 1
-    got = list(trie.walk())
-    assert [g[1] for g in got] == sorted(want) and {g[1]: (g[2], g[3]) for g in got} == {t: (2 * n, n) for t, n in want.items()} and trie.size == len(want)
-    assert all(g[1].startswith(g[0]) for g in got) and any(g[0] for g in got)
+    def flat(t):
+        return {p + x: (n, m) for p, xs, ns, ms in t.containers() for x, n, m in zip(xs, ns, ms)}
+
+    counts = {t: (2 * n, n) for t, n in want.items()}
+    assert flat(trie) == counts and trie.size == len(want)
+    assert [p + x for p, xs, _, _ in trie.containers() for x in xs] == sorted(want) and any(p for p, *_ in trie.containers())
+    for most in (1, 7, 48, 10**6):  # subtrees of tries that burst elsewhere
+        monkeypatch.setattr(terms, "BURST", most)
+        other, both = terms.Trie(), terms.Trie()
+        for t in want:
+            other.add(t, 1, 0)
+        for part in (trie, other, trie):
+            for subtree in part.containers():
+                both.merge(*subtree)
+        assert flat(both) == {t: (2 * n + 1, 2 * m) for t, (n, m) in counts.items()} and both.size == len(want)
+
+
+def test_subtrees_are_sent_by_adaptive_prefixes():
+    full = {"", "a", "ab"}
+    assert [terms.route(t, full) for t in ("", "b", "bc", "a", "ac", "acd", "ab", "abx")] == [None, "b", "b", None, "ac", "ac", None, "abx"]
+    pdf = pd.DataFrame([("", ["", "a", "ab", "abc", "abd", "b"], list(range(6)), [1] * 6), ("ac", ["", "x"], [7, 8], [1, 1])], columns=["prefix", "suffixes", "occurrences", "records"])
+    for c in ("suffixes", "occurrences", "records"):
+        pdf[c] = pdf[c].map(lambda x: np.array(x, object if isinstance(x[0], str) else np.int64))
+    out = pd.concat(terms._routed([pdf], full))
+    assert [(r.route, [r.prefix + x for x in r.suffixes]) for r in out.itertuples()] == [("", [""]), ("a", ["a"]), ("ab", ["ab"]), ("abc", ["abc"]), ("abd", ["abd"]), ("b", ["b"]), ("ac", ["ac", "acx"])]
 
 
 def test_term_counts(spark, monkeypatch):
@@ -245,6 +268,11 @@ def test_term_counts(spark, monkeypatch):
     rows = [(1, ["a", "a", "b", None, ""], "x"), (2, ["a"], "x"), (3, None, "x"), (4, [], "x"), (5, ["a", "c"], "x")]
     df = spark.createDataFrame(rows, "note_id bigint, tags array<string>, term string").repartition(3)
     assert sorted(map(tuple, terms.term_counts(df, "tags").collect())) == [("", 1, 1), ("a", 4, 3), ("b", 1, 1), ("c", 1, 1)]
+    monkeypatch.setattr(terms, "BURST", 2)
+    rng = random.Random(6)
+    many = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 6))) for _ in range(3000)]
+    wide = spark.createDataFrame([(many[k : k + 5],) for k in range(0, 3000, 5)], "tags array<string>").repartition(5)
+    assert {r["term"]: r["occurrences"] for r in terms.term_counts(wide, "tags").collect()} == Counter(many)
     listed = spark.createDataFrame([(1, "a", 9, 1), (2, "a", 3, 2), (3, "b", None, 1), (3, "b", None, 1), (4, "z", 1, 1), (5, None, 1, 1)], "list_id bigint, title string, backlinks_count bigint, listed_at bigint")
     got = sorted(map(tuple, terms.tag_marks(df, listed).collect()))
     assert got == [("", "common"), ("", "rare"), ("a", "common"), ("b", "common"), ("b", "rare"), ("b", "stale"), ("c", "common"), ("c", "rare")]
@@ -353,12 +381,27 @@ def test_leaks(spark):
     want = {(d, i) for d, t in docs if d is not None for w in [words(t)] for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
     df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id bigint, text string, item_id string")
     ev = spark.createDataFrame([i for i in items if i != (3, None)], "item_id bigint, text string")
+    index = leaks.index(df)
     for most in (2000, 7):
-        got = [tuple(r) for r in leaks.find(df, ev, most=most).select("doc_id", "item_id").collect()]
+        got = [tuple(r) for r in leaks.find(index, ev, most=most).select("doc_id", "item_id").collect()]
         assert set(got) == want and len(got) == len(want) > 20
-    whole = leaks.find(df, ev).where("doc_id = 503").collect()[0]
+    whole = leaks.find(index, ev).where("doc_id = 503").collect()[0]
     assert (whole["longest"], whole["item_words"]) == (40, 40)
-    assert leaks.find(df.limit(0), ev).count() == 0 and leaks.find(df, ev.limit(0)).count() == 0
+    assert leaks.find(leaks.index(df.limit(0)), ev).count() == 0 and leaks.find(index, ev.limit(0)).count() == 0
+
+
+def test_other_items_need_no_second_scan(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(leaks, "SHARD_CHARS", 500)
+    texts = [(k, some_text(rng, rng.randrange(13, 60))) for k in range(80)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    index = leaks.index(spark.read.parquet(str(tmp_path / "docs")))
+    shutil.rmtree(tmp_path / "docs")
+    for own in (texts[:40], texts[40:]):
+        items = spark.createDataFrame(own, "item_id bigint, text string")
+        assert {tuple(r) for r in leaks.find(index, items).select("doc_id", "item_id").collect()} == {(k, k) for k, _ in own}
+    rows = leaks.postings_of(index).where("term is not null").groupBy("doc_id").agg(F.sum(F.size("positions")).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {k: len(words(t)) for k, t in texts}
 
 
 def near_plain(d, t, most=26):
@@ -380,7 +423,7 @@ def test_edited_passages_are_proximity_matches(spark):
             rng.shuffle(w)
         texts.append([rng.choice(vocabulary) for _ in range(rng.randrange(30))] + w + [rng.choice(vocabulary) for _ in range(rng.randrange(30))])
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string")
-    found = leaks.find(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"), run=8, proximity=True).collect()
+    found = leaks.find(leaks.index(docs), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"), run=8, proximity=True).collect()
     got = {(r["doc_id"], r["item_id"]): r["near"] for r in found if r["longest"] < 8}
     want = {(d, i): n for d, w in enumerate(texts) for i, t in items if (n := near_plain(w, t)) >= 13}
     runs = {(r["doc_id"], r["item_id"]) for r in found if r["longest"] >= 8}
