@@ -12,6 +12,8 @@ SIGN_WORDS = {
     "@": "at", "!": "exclamation", "$": "dollar", "&": "and", "'": "single-quote", "(": "left-parenthesis",
     ")": "right-parenthesis", "*": "asterisk", "+": "plus", ",": "comma", ";": "semicolon", "=": "equal",
 }
+#: White space of any kind, for patterns of Java and Python alike.
+WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%y": "yy", "%j": "DDD", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%p": "a", "%I": "hh", "%e": "d"}
 
 
@@ -67,12 +69,12 @@ def bounded(path: Column | str, depth: int = 3) -> Column:
 
 
 def slug_dash(text: Column | str) -> Column:
-    spelt = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f"-{kv[1]}-")), SIGN_WORDS.items(), F.lower(F.trim(col(text))))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(spelt, r"\s+", "-"), "-+", "-"), "^-|-$", "")
+    spelt = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f"-{kv[1]}-")), SIGN_WORDS.items(), F.lower(F.regexp_replace(col(text), f"^{WHITE}+|{WHITE}+$", "")))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(spelt, f"{WHITE}+", "-"), "-+", "-"), "^-|-$", "")
 
 
 def slug_heading(text: Column | str) -> Column:
-    kept = F.regexp_replace(F.lower(F.regexp_replace(col(text), r"[\s-]+", "-")), r"[^\p{L}\p{N}-]+", "")
+    kept = F.regexp_replace(F.lower(F.regexp_replace(col(text), f"(?:{WHITE}|-)+", "-")), r"[^\p{L}\p{N}-]+", "")
     return F.regexp_replace(F.regexp_replace(kept, "-+", "-"), "^-|-$", "")
 
 

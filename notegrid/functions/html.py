@@ -1,198 +1,312 @@
-"""Notes as HTML. Works on the block structure the scanner sees; plain Python, run per partition."""
+"""Notes as HTML from the blocks and inline pieces of the scanner; plain Python, run per partition.
+
+Tables, struck-out text, superscript, footnotes, math between dollars and URLs
+without brackets are known besides plain Markdown. Embeds are expanded on a stack
+of their own, so a chain of them may be of any length.
+"""
 
 from __future__ import annotations
 
+import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Generator
+from urllib.parse import urlsplit
 
 from notegrid.functions import markdown as md
-from notegrid.functions.expr import SIGN_WORDS
+from notegrid.functions.expr import SIGN_WORDS, WHITE
+
+_DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_CELL = re.compile(r"(?:[^\\|]|\\.)*+")
+_NOTE = re.compile(r"\[\^([^\s\[\]]+)\]:[ \t]*")
+_ALIGN = {(False, False): "", (True, False): ' align="left"', (False, True): ' align="right"', (True, True): ' align="center"'}
+_TAGS = {1: ("<em>", "</em>"), 2: ("<strong>", "</strong>"), 3: ("<em><strong>", "</strong></em>")}
+Steps = Generator[tuple, str, str]
 
 
 def slug(text: str) -> str:
-    out = text.strip().lower()
+    out = re.sub(f"^{WHITE}+|{WHITE}+$", "", text).lower()
     for sign, word in SIGN_WORDS.items():
         out = out.replace(sign, f"-{word}-")
-    return re.sub(r"-+", "-", re.sub(r"\s+", "-", out)).strip("-")
+    return re.sub(r"-+", "-", re.sub(f"{WHITE}+", "-", out)).strip("-")
 
 
 def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
+def cells(line: str) -> list[str]:
+    """Cells of a table row; a bar after a backslash is text."""
+    out, at, line = [], 0, line.strip(" \t")
+    at = int(line.startswith("|"))
+    while True:
+        m = _CELL.match(line, at)
+        at = m.end() + 1
+        if m.end() >= len(line):
+            if m[0].strip() or not out:
+                out.append(m[0].strip())
+            return out
+        out.append(m[0].strip().replace("\\|", "|"))
+
+
+def card(url: str) -> str:
+    """A link that stands alone."""
+    return f'<div class="link-card" data-url="{escape(url)}" data-host="{escape(urlsplit(url).hostname or "")}"><a href="{escape(url)}" rel="noopener noreferrer">{escape(url)}</a></div>'
+
+
 class Renderer:
     """``texts`` finds the text of an embedded note by (ctx, title); without it embeds stay as they are written."""
 
     def __init__(self, base: str, texts: Callable[[tuple[str, ...], str], str | None] | None = None, folder: str = "notes") -> None:
         self.base, self.texts, self.folder = base.rstrip("/") + "/", texts, folder
-        self.path: list[tuple] = []
 
     def href(self, ctx: list[str], title: str, heading: str | None = None) -> str:
         stem = "/".join(slug(x) for x in [*ctx, title])
         return f"{self.base}{self.folder}/{stem}.html" + (f"#{slug(heading)}" if heading else "")
 
-    def embed(self, ctx: list[str], title: str, heading: str | None) -> str:
-        key = (*ctx, title)
-        if key in self.path:
-            return f'<div class="embed-cycle">{escape("/".join(key))}</div>'
-        text = self.texts(tuple(ctx), title)
-        if text is None:
-            return f'<div class="embed-missing">{escape("/".join(key))}</div>'
-        if heading:
-            part = md.section(text, slug(heading))
-            text = text if part is None else part
-        self.path.append(key)
-        body = self.render(text)
-        self.path.pop()
-        return f'<div class="embed">{body}</div>'
-
-    def inline(self, text: str) -> str:
-        out, i = [], 0
-        while i < len(text):
-            c = text[i]
-            if c == "\\" and i + 1 < len(text) and text[i + 1] in md._ESCAPABLE:
-                out.append(escape(text[i + 1]))
-                i += 2
+    def content(self, text: str) -> list[tuple[str, str]]:
+        """Root elements: ("autolink", url) for a paragraph that is one bare link, else ("raw", html)."""
+        return self._run(self._blocks(text, []), [])
+
+    def render(self, text: str) -> str:
+        return _joined(self.content(text))
+
+    def _run(self, steps: Steps, path: list[tuple]) -> list[tuple[str, str]]:
+        """Drive the steps; each asks for an embed, which is answered at once or rendered first."""
+        stack, answer = [steps], None
+        while True:
+            try:
+                ctx, title, heading = stack[-1].send(answer)
+            except StopIteration as done:
+                stack.pop()
+                if not stack:
+                    return done.value
+                path.pop()
+                answer = f'<div class="embed">{_joined(done.value)}</div>'
                 continue
-            if c == "`":
-                run = md._TICKS.match(text, i)
-                close = next((m for m in md._TICKS.finditer(text, run.end()) if len(m[0]) == len(run[0])), None)
-                if close:
-                    code = text[run.end() : close.start()].replace("\n", " ")
-                    out.append(f"<code>{escape(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
-                    i = close.end()
-                else:
-                    out.append(run[0])
-                    i = run.end()
+            key = (*ctx, title)
+            text = None if key in path else self.texts(tuple(ctx), title)
+            if text is None:
+                answer = f'<div class="embed-{"cycle" if key in path else "missing"}">{escape("/".join(key))}</div>'
                 continue
-            if c == "<":
-                if m := md._AUTOLINK.match(text, i):
-                    out.append(f'<a href="{escape(m[1])}">{escape(m[1])}</a>')
-                    i = m.end()
-                    continue
-                if m := md._TAG.match(text, i):
-                    out.append(m[0])
-                    i = m.end()
-                    continue
-            at = i + (c == "!")
-            if text.startswith("[", at) and (c == "[" or c == "!"):
-                if c == "!" and (m := md._WIKI.match(text, at)):
-                    ref = md.reference("!", m[1], m[2], 0)
-                    if ref and self.texts:
-                        out.append(self.embed(ref[1], ref[2], ref[3]))
-                    else:
-                        out.append(escape(text[i : m.end()]))
-                    i = m.end()
-                    continue
-                if m := md._WIKI.match(text, at):
-                    before = text[i - 1] if i else ""
-                    ref = md.reference(before, m[1], m[2], 0)
-                    if ref and ref[0] == "tag":
-                        out[-1:] = [out[-1][:-1]] if out and out[-1].endswith("#") else out[-1:]
-                        out.append(f'<a class="tag" href="{self.base}tags/{"/".join(slug(x) for x in [*ref[1], ref[2]])}.html">#{escape("/".join([*ref[1], ref[2]]))}</a>')
-                    elif ref:
-                        out.append(f'<a href="{self.href(ref[1], ref[2], ref[3])}">{escape(ref[4] or ref[2])}</a>')
-                    else:
-                        out.append(escape(m[0]))
-                    i = m.end()
+            if heading and (part := md.section(text, md.heading_slug(heading))) is not None:
+                text = part
+            path.append(key)
+            stack.append(self._blocks(text, path))
+            answer = None
+
+    def _blocks(self, text: str, path: list[tuple]) -> Steps:
+        """Steps that end with the root elements of a text."""
+        blocks = list(md.events(text or ""))
+        notes = _Notes(blocks)
+        out = _Out()
+        for e in blocks:
+            kind = e[0]
+            if kind == "p":
+                body = e[1]
+                if _NOTE.match(body):
                     continue
-                close = md.Scanner._close(text, at)
-                if close > 0 and (m := md._TARGET.match(text, close + 1)):
-                    url = escape(m[1][1:-1] if m[1].startswith("<") else m[1])
-                    inner = text[at + 1 : close]
-                    out.append(f'<img src="{url}" alt="{escape(inner)}">' if c == "!" else f'<a href="{url}">{self.inline(inner)}</a>')
-                    i = m.end()
+                box = ""
+                if e[3] and (m := md._TASK.match(body)) and m[1] in md.STATUS:
+                    box = f'<input type="checkbox" disabled class="task-{md.STATUS[m[1]]}"{" checked" if m[1] in "xX" else ""}> '
+                    body = body[m.end() :]
+                elif len(out.open) == 1 and (url := _alone(body)):
+                    out.url(url)
                     continue
-            if c in "*_" and (m := md._STRONG.match(text, i)):
-                n = len(m[1])
-                a, b = ("<em>", "</em>") if n == 1 else ("<strong>", "</strong>") if n == 2 else ("<em><strong>", "</strong></em>")
-                out.append(a + self.inline(m[2]) + b)
-                i = m.end()
+                before, table = _table(body)
+                if before:
+                    inner = yield from self._inline(before, notes)
+                    out.block(box + inner if out.open[-1][0] == "item" else f"<p>{inner}</p>")
+                if table:
+                    out.block((yield from self._rows(table, notes)))
+            elif kind == "h":
+                out.block(f'<h{e[1]} id="{md.heading_slug(_plain(e[2]))}">' + (yield from self._inline(e[2], notes)) + f"</h{e[1]}>")
+            elif kind == "code":
+                if e[1] == "mermaid":
+                    out.block(f'<div class="mermaid">{escape(e[2])}</div>')
+                else:
+                    language = f' class="language-{escape(e[1])}"' if e[1] else ""
+                    out.block(f"<pre><code{language}>{escape(e[2])}</code></pre>")
+            elif kind == "hr":
+                out.block("<hr>")
+            elif kind == "raw":
+                out.block(e[1])
+            elif kind == "quote":
+                out.enter("quote", "<blockquote>")
+            elif kind == "item":
+                out.item(e[1])
+            else:
+                out.leave("</blockquote>" if kind == "/quote" else "</li>")
+        if notes.used:
+            items = []
+            for name in notes.used:  # grows while notes refer to others
+                items.append(f'<li id="fn-{escape(name)}">' + (yield from self._inline(notes.text[name], notes)) + f' <a href="#fnref-{escape(name)}">↩</a></li>')
+            out.block('<section class="footnotes"><ol>' + "".join(items) + "</ol></section>")
+        return out.elements()
+
+    def _rows(self, table: list[str], notes: _Notes) -> Steps:
+        head, marks = cells(table[0]), [_ALIGN[c.startswith(":"), c.endswith(":")] for c in cells(table[1])]
+        out = []
+        for tag, row in (("th", head), *(("td", cells(x)) for x in table[2:])):
+            line = ""
+            for text, align in zip([*row, *[""] * len(head)], marks):
+                line += f"<{tag}{align}>" + (yield from self._inline(text, notes)) + f"</{tag}>"
+            out.append(f"<tr>{line}</tr>")
+        body = f'<tbody>{"".join(out[1:])}</tbody>' if len(out) > 1 else ""
+        return f"<table><thead>{out[0]}</thead>{body}</table>"
+
+    def _inline(self, text: str, notes: _Notes) -> Steps:
+        out: list[str] = []
+        skip = 0  # inside images, whose text is in alt
+        for t in md.tokens(text, rich=True):
+            kind = t[0]
+            if kind == "image":
+                if not skip:
+                    out.append(f'<img src="{escape(t[2])}" alt="{escape(t[3])}">')
+                skip += 1
+            elif kind == "/image":
+                skip -= 1
+            elif skip:
                 continue
-            out.append(escape(c))
-            i += 1
+            elif kind == "text":
+                out.append(escape(t[2]))
+            elif kind == "nl":
+                out.append("\n")
+            elif kind == "entity":
+                out.append(escape(html.unescape(t[2])))
+            elif kind == "code":
+                code = t[2].replace("\n", " ")
+                out.append(f"<code>{escape(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
+            elif kind == "auto":
+                out.append(f'<a href="{"mailto:" if "@" in t[2] and ":" not in t[2] else ""}{escape(t[2])}">{escape(t[2])}</a>')
+            elif kind == "tag":
+                out.append(t[2])
+            elif kind == "link":
+                out.append(f'<a href="{escape(t[2])}">')
+            elif kind == "/link":
+                out.append("</a>")
+            elif kind in ("strong", "/strong"):
+                out.append(_TAGS[t[2]][kind[0] == "/"])
+            elif kind in ("strike", "/strike", "super", "/super"):
+                out.append(f'<{"/" * (kind[0] == "/")}{"del" if "strike" in kind else "sup"}>')
+            elif kind == "math":
+                out.append(f'<span data-math-style="{"display" if t[3] == 2 else "inline"}">{escape(t[2])}</span>')
+            elif kind == "note":
+                out.append(notes.mark(t[2]))
+            elif kind == "wiki":
+                ref = md.reference(t[2], t[3], t[4], 0)
+                if t[2] == "!" and (self.texts is None or not ref):
+                    out.append(escape("!" + t[5]))
+                elif ref and ref[0] == "embed":
+                    out.append((yield ref[1], ref[2], ref[3]))
+                elif ref and ref[0] == "tag":
+                    if out and out[-1].endswith("#"):
+                        out[-1] = out[-1][:-1]
+                    path = [*ref[1], ref[2]]
+                    out.append(f'<a class="tag" href="{self.base}tags/{"/".join(map(slug, path))}.html">#{escape("/".join(path))}</a>')
+                elif ref:
+                    out.append(f'<a href="{self.href(ref[1], ref[2], ref[3])}">{escape(ref[4] or ref[2])}</a>')
+                else:
+                    out.append(escape(t[5]))
         return "".join(out)
 
-    def content(self, text: str) -> list[tuple[str, str]]:
-        """Root elements: ("autolink", url) for a paragraph that is one bare link, else ("raw", html)."""
-        return [("autolink", m[1]) if (m := md._AUTOLINK.fullmatch(b[1].strip())) and b[0] == "p" else ("raw", self.block(b)) for b in self.tree(md.lines_of(text or ""))]
 
-    def render(self, text: str) -> str:
-        return "\n".join(self.block(b) for b in self.tree(md.lines_of(text or "")))
-
-    def block(self, b: tuple) -> str:
-        kind = b[0]
-        if kind == "h":
-            return f'<h{b[2]} id="{md.heading_slug(b[1])}">{self.inline(b[1])}</h{b[2]}>'
-        if kind == "code":
-            if b[2] == "mermaid":
-                return f'<div class="mermaid">{escape(b[1])}</div>'
-            return f'<pre><code{f" class={chr(34)}language-{escape(b[2])}{chr(34)}" if b[2] else ""}>{escape(b[1])}</code></pre>'
-        if kind == "hr":
-            return "<hr>"
-        if kind == "raw":
-            return b[1]
-        if kind == "quote":
-            return "<blockquote>" + "\n".join(self.block(x) for x in b[1]) + "</blockquote>"
-        if kind == "list":
-            tag = "ol" if b[2] else "ul"
-            return f"<{tag}>" + "".join(self.item(x) for x in b[1]) + f"</{tag}>"
-        return f"<p>{self.inline(b[1])}</p>"
-
-    def item(self, blocks: list[tuple]) -> str:
-        box = ""
-        if blocks and blocks[0][0] == "p" and (m := md._TASK.match(blocks[0][1])) and md.STATUS.get(m[1]):
-            box = f'<input type="checkbox" disabled class="task-{md.STATUS[m[1]]}"{" checked" if m[1] in "xX" else ""}> '
-            blocks = [("p", blocks[0][1][m.end() :]), *blocks[1:]]
-        return "<li>" + box + "\n".join(self.inline(x[1]) if x[0] == "p" else self.block(x) for x in blocks) + "</li>"
-
-    def tree(self, lines: list[str]) -> list[tuple]:
-        """Blocks of one container, from the same line rules as the scanner."""
-        seen: list[tuple] = []
-        rest = self
-
-        class Blocks(md.Scanner):
-            def inline(self, text: str, line: int) -> str:
-                seen.append(("p", text))
-                return text
-
-            def heading(self, level: int, text: str, line: int, root: bool) -> None:
-                seen.append(("h", text.strip(), level))
-
-            def _fence(self, lines_: list[str], k: int, m: re.Match, first: int) -> int:
-                end = super()._fence(lines_, k, m, first)
-                lang, body, _ = self.out.code[-1]
-                seen.append(("code", body, lang))
-                return end
-
-            def _quote(self, lines_: list[str], k: int, first: int) -> int:
-                return self._nested(lines_, k, lambda: super(Blocks, self)._quote(lines_, k, first), "quote")
-
-            def _item(self, lines_: list[str], k: int, m: re.Match, first: int) -> int:
-                number = m[2][0].isdigit()
-                end = self._nested(lines_, k, lambda: super(Blocks, self)._item(lines_, k, m, first), "item")
-                own = seen.pop()[1]
-                if seen and seen[-1][0] == "list" and seen[-1][2] == number:
-                    seen[-1][1].append(own)
-                else:
-                    seen.append(("list", [own], number))
-                return end
-
-            def _nested(self, lines_: list[str], k: int, run: Callable[[], int], kind: str) -> int:
-                grab: list[list[str]] = []
-                keep = self.blocks
-                self.blocks = lambda inner, *a, **b: grab.append(inner)  # type: ignore[method-assign]
-                try:
-                    end = run()
-                finally:
-                    self.blocks = keep  # type: ignore[method-assign]
-                seen.append((kind, rest.tree(grab[0])))
-                return end
-
-            def _raw(self, lines_: list[str], k: int, m: re.Match) -> int:
-                end = md.Scanner._raw(lines_, k, m)
-                seen.append(("raw", "\n".join(lines_[k:end])))
-                return end
-
-        Blocks().blocks(lines, 1)
-        return seen
+class _Out:
+    """Blocks written in order; each open container knows its kind, whether it has a block, and the list that its last block is."""
+
+    def __init__(self) -> None:
+        self.done: list[tuple[str, str]] = []
+        self.parts: list[str] = []
+        self.open: list[list] = [["", False, None]]
+
+    def _next(self) -> None:
+        """End the list that is open; a new block follows."""
+        here = self.open[-1]
+        if here[2] is not None:
+            self.parts.append("</ol>" if here[2] else "</ul>")
+            here[2] = None
+        if len(self.open) > 1:
+            if here[1]:
+                self.parts.append("\n")
+        elif self.parts:
+            self.done.append(("raw", "".join(self.parts)))
+            self.parts = []
+        here[1] = True
+
+    def block(self, text: str) -> None:
+        self._next()
+        self.parts.append(text)
+
+    def url(self, url: str) -> None:
+        self._next()
+        self.done.append(("autolink", url))
+
+    def enter(self, kind: str, tag: str) -> None:
+        self.block(tag)
+        self.open.append([kind, False, None])
+
+    def item(self, number: bool) -> None:
+        if self.open[-1][2] is not number:
+            self._next()
+            self.open[-1][2] = number
+            self.parts.append("<ol>" if number else "<ul>")
+        self.parts.append("<li>")
+        self.open.append(["item", False, None])
+
+    def leave(self, tag: str) -> None:
+        here = self.open.pop()
+        if here[2] is not None:
+            self.parts.append("</ol>" if here[2] else "</ul>")
+        self.parts.append(tag)
+
+    def elements(self) -> list[tuple[str, str]]:
+        self._next()
+        return self.done
+
+
+class _Notes:
+    """Footnotes of a text: their texts by name, and the names in the order of their first marks."""
+
+    def __init__(self, blocks: list[tuple]) -> None:
+        self.text: dict[str, str] = {}
+        self.used: list[str] = []
+        for e in blocks:
+            if e[0] == "p" and (m := _NOTE.match(e[1])):
+                self.text.setdefault(m[1], e[1][m.end() :])
+
+    def mark(self, name: str) -> str:
+        if name not in self.text:
+            return escape(f"[^{name}]")
+        if again := name in self.used:
+            n = self.used.index(name) + 1
+        else:
+            self.used.append(name)
+            n = len(self.used)
+        own = "" if again else f' id="fnref-{escape(name)}"'
+        return f'<sup class="footnote-ref"><a href="#fn-{escape(name)}"{own}>{n}</a></sup>'
+
+
+def _plain(text: str) -> str:
+    return md.Scanner(frozenset()).inline(text, 0)
+
+
+def _alone(body: str) -> str | None:
+    """The URL, if the text is nothing but one."""
+    body = body.strip()
+    if not body.startswith(("<", "http")) or any(c.isspace() for c in body):
+        return None
+    parts = list(md.tokens(body, rich=True))
+    return parts[0][2] if len(parts) == 1 and parts[0][0] == "auto" and "://" in parts[0][2] else None
+
+
+def _table(body: str) -> tuple[str, list[str]]:
+    """What stands before a table, and its lines: a head, a line of dashes with as many cells, and rows."""
+    if "|" in body and "-" in body:
+        lines = body.split("\n")
+        for k in range(1, len(lines)):
+            if "-" in lines[k] and "|" in lines[k - 1] and _DELIMITER.match(lines[k]) and len(cells(lines[k])) == len(cells(lines[k - 1])):
+                return "\n".join(lines[: k - 1]), lines[k - 1 :]
+    return body, []
+
+
+def _joined(elements: list[tuple[str, str]]) -> str:
+    return "\n".join(f"<p>{card(x)}</p>" if kind == "autolink" else x for kind, x in elements)
