@@ -488,13 +488,13 @@ WANTED = frozenset(("refs", "headings", "code", "tasks", "images"))
 class Scanner:
     """Collects from the events of one note what is wanted."""
 
-    def __init__(self, wanted: frozenset[str] = WANTED) -> None:
-        self.out, self.wanted = Parsed(), wanted
+    def __init__(self, wanted: frozenset[str] = WANTED, needle: str = "[[") -> None:
+        self.out, self.wanted, self.needle = Parsed(), wanted, needle
         self.refs, self.images = "refs" in wanted, "images" in wanted
 
     def inline(self, text: str, line: int, spelt: bool = True) -> str:
         """Collect references and images of a leaf; return its plain text, where it is ``spelt`` out."""
-        if not spelt and not (self.refs and "[[" in text or self.images and "![" in text):
+        if not spelt and not (self.refs and self.needle in text or self.images and "![" in text):
             return ""
         if not _SPECIAL.search(text):
             return text.replace("\n", "")
@@ -556,9 +556,9 @@ def lines_of(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
-def scan(text: str | None, wanted: frozenset[str] = WANTED) -> Parsed:
-    """What is wanted of one note; a null text has nothing."""
-    return Scanner(wanted).run(text) if text else Parsed()
+def scan(text: str | None, wanted: frozenset[str] = WANTED, needle: str = "[[") -> Parsed:
+    """What is wanted of one note; a null text has nothing. References are sought in paragraphs with ``needle`` only."""
+    return Scanner(wanted, needle).run(text) if text else Parsed()
 
 
 def heading_slug(text: str) -> str:

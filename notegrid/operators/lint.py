@@ -1,11 +1,14 @@
 """Health checks of the graph: each rule is a DataFrame (rule, path, message, span_begin, span_end).
 
-Spans are byte offsets of the first literal link in the text, null where there is none.
+Spans are byte offsets of the first literal link in the text, null where there is
+none; the scan finds them, so no text is joined. A key that several notes have
+counts once in rules about links.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,21 +21,34 @@ STALE_DAYS = 180
 
 
 class Wiki:
-    """What the rules read: notes with key and name, the parsed table and the edges; None for ``now`` skips staleness."""
+    """What the rules read: notes with key and name, a call for the parsed table (links, headings, spans) and one for the
+    edges, made when a rule first needs them; None for ``now`` skips staleness."""
 
-    def __init__(self, notes: DataFrame, parsed: DataFrame, edges: DataFrame, now: int | None = None, days: int = STALE_DAYS) -> None:
-        self.notes, self.parsed, self.edges, self.now, self.days = notes, parsed, edges, now, days
+    def __init__(self, notes: DataFrame, parsed: Callable[[], DataFrame], edges: Callable[[], DataFrame], now: int | None = None, days: int = STALE_DAYS) -> None:
+        self.notes, self._parsed, self._edges, self.now, self.days = notes, parsed, edges, now, days
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return self._parsed()
 
-def _warnings(rows: DataFrame, rule: str, message: Column, link: Column | None = None) -> DataFrame:
-    if link is None:
-        begin = end = F.lit(None).cast("int")
-    else:
-        pos = F.expr("position(__link, md_text)")
-        rows = rows.withColumn("__link", link)
-        begin = F.when(pos > 0, F.octet_length(F.expr("substring(md_text, 1, position(__link, md_text) - 1)")))
-        end = begin + F.octet_length("__link")
-    return rows.select(F.lit(rule).alias("rule"), X.note_path("ctx", "title").alias("path"), message.alias("message"), begin.cast("int").alias("span_begin"), end.cast("int").alias("span_end"))
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges()
+
+
+def path_of_key(key: Column | str) -> Column:
+    return F.concat(F.replace(X.col(key), F.lit("\u0001"), F.lit("/")), F.lit(".md"))
+
+
+def _warnings(rows: DataFrame, rule: str, message: Column, path: Column | None = None, link: Column | None = None, span: str = "span") -> DataFrame:
+    begin = F.col(span) if link is not None else F.lit(None)
+    end = begin + F.octet_length(link) if link is not None else F.lit(None)
+    path = X.note_path("ctx", "title") if path is None else path
+    return rows.select(F.lit(rule).alias("rule"), path.alias("path"), message.alias("message"), begin.cast("int").alias("span_begin"), end.cast("int").alias("span_end"))
+
+
+def _link(*more: Column) -> Column:
+    return F.concat(F.lit("[["), "dst_name", *more, F.lit("]]"))
 
 
 def dead_end(w: Wiki) -> DataFrame:
@@ -46,21 +62,17 @@ def lonely(w: Wiki) -> DataFrame:
 
 
 def self_link(w: Wiki) -> DataFrame:
-    rows = w.notes.join(w.edges.where("src = dst").select(F.col("src").alias("key")), "key", "left_semi")
-    return _warnings(rows, "self-link", F.lit("note links to itself"), F.concat(F.lit("[["), "name", F.lit("]]")))
+    return _warnings(w.edges.where("src = dst"), "self-link", F.lit("note links to itself"), path_of_key("src"), _link())
 
 
 def overlinking(w: Wiki) -> DataFrame:
-    many = extract.refs(w.parsed, "link").groupBy("key", "dst", "dst_name").agg(F.count("*").alias("n")).where("n > 1")
-    rows = w.notes.join(many, "key")
-    link = F.concat(F.lit("[["), "dst_name", F.lit("]]"))
-    return _warnings(rows, "overlinking", F.concat(F.lit("link "), link, F.lit(" appears "), F.col("n").cast("string"), F.lit(" times")), link)
+    many = extract.refs(w.parsed, "link").groupBy("key", "dst", "dst_name").agg(F.count("*").alias("n"), F.min("span").alias("span")).where("n > 1")
+    return _warnings(many, "overlinking", F.concat(F.lit("link "), _link(), F.lit(" appears "), F.col("n").cast("string"), F.lit(" times")), path_of_key("key"), _link())
 
 
 def broken_link(w: Wiki) -> DataFrame:
-    gone = w.edges.join(w.notes.select(F.col("key").alias("dst")), "dst", "left_anti").select(F.col("src").alias("key"), "dst_name")
-    link = F.concat(F.lit("[["), "dst_name", F.lit("]]"))
-    return _warnings(w.notes.join(gone, "key"), "broken-link", F.concat(F.lit("broken wikilink: "), link), link)
+    gone = w.edges.join(w.notes.select(F.col("key").alias("dst")), "dst", "left_anti")
+    return _warnings(gone, "broken-link", F.concat(F.lit("broken wikilink: "), _link()), path_of_key("src"), _link())
 
 
 def broken_heading_ref(w: Wiki) -> DataFrame:
@@ -68,10 +80,10 @@ def broken_heading_ref(w: Wiki) -> DataFrame:
     asked = extract.refs(w.parsed, "link").where("heading is not null").withColumn("slug", X.slug_dash("heading")).where("slug <> ''")
     asked = asked.join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
     known = extract.headings(w.parsed).select(F.col("key").alias("dst"), X.slug_dash("text").alias("slug"))
-    lost = asked.join(known, ["dst", "slug"], "left_anti").select("key", "dst_name", "heading")
-    link = F.concat(F.lit("[["), "dst_name", F.lit("#"), "heading", F.lit("]]"))
+    lost = asked.join(known, ["dst", "slug"], "left_anti")
+    link = _link(F.lit("#"), F.col("heading"))
     message = F.concat(F.lit("broken heading reference: "), link, F.lit(" (heading not found in target note)"))
-    return _warnings(w.notes.join(lost, "key"), "broken-heading-ref", message, link)
+    return _warnings(lost, "broken-heading-ref", message, path_of_key("key"), link, "head_span")
 
 
 def stale(w: Wiki) -> DataFrame:

@@ -1,13 +1,14 @@
 """Index order, pages, search index and page rows of a static site.
 
-Pages need global positions. They come from ranges: rows are sorted by range,
-counted by partition (one small number each), and offset, so no window runs in
-a single task.
+Pages need global positions. They come from ranges: rows are written, sorted by
+range, numbered inside their partition as they are written again, and offset by
+the sizes of the partitions before (one small number each), so no window runs in
+a single task and what is below is computed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from notegrid.functions import expr as X
 from notegrid.plans.scratch import written
@@ -25,15 +26,17 @@ def by_links() -> list[Column]:
 def positions(rows: DataFrame, order: list[Column], column: str = "row") -> DataFrame:
     """Position of each row from 1 in the order, without a global window."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "order")
-    sizes = {r["__part"]: r["n"] for r in part.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one number a partition
+    once = written(rows, "rows")  # bounds of the ranges are sampled, which reads the rows twice
+    placed = written(once.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "order")
+    # an id is the partition's number above 33 bits and the row's place in the partition below
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offset, total = [], 0
     for p in sorted(sizes):
         offset.append((p, total))
         total += sizes[p]
-    offsets = rows.sparkSession.createDataFrame(offset or [(0, 0)], "__part int, __offset bigint")
-    local = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return part.join(F.broadcast(offsets), "__part").withColumn(column, F.col("__offset") + local).drop("__part", "__offset")
+    offsets = rows.sparkSession.createDataFrame(offset or [(0, 0)], "__part bigint, __offset bigint")
+    return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(column, F.col("__offset") + place + 1).drop("__part", "__offset", "__id")
 
 
 def pages(placed: DataFrame, size: int | None, column: str = "row") -> DataFrame:

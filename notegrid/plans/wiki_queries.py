@@ -35,19 +35,23 @@ def sql(text: str, *, rec: bool = False) -> str:
 
 
 class World:
-    """The rendered wiki; ``keep`` writes it once for queries that read it more than once."""
+    """The rendered wiki; ``keep`` writes it once for queries that read its texts more than once."""
 
     def __init__(self, spark, d: str, keep: bool = False) -> None:
         notes = extract.with_key(rendered.notes(spark, d))
         self.notes = written(notes, "notes") if keep else notes
 
-    def parsed(self) -> DataFrame:
-        return extract.parse(self.notes)
+    def parsed(self, *wanted: str) -> DataFrame:
+        return extract.parse(self.notes, *wanted)
 
-    def lint(self) -> lint.Wiki:
-        notes = written(self.notes, "notes")
-        p = written(extract.parse(notes), "parsed")
-        return lint.Wiki(notes, p, written(graph.edges(p), "edges"), NOW)
+    def lint(self, *rules: str) -> lint.Wiki:
+        """One rule about links reads them once, so nothing is written; else notes and what is parsed are one table."""
+        if rules in (("dead-end",), ("lonely",), ("self-link",), ("overlinking",), ("broken-link",)):
+            return lint.Wiki(self.notes, lambda: extract.parse(self.notes, "links", spans=True), lambda: graph.edges(extract.parse(self.notes, "links", spans=True)), NOW)
+        if rules == ("stale-by-git",):
+            return lint.Wiki(self.notes, lambda: self.notes, lambda: self.notes, NOW)
+        p = written(extract.parse(self.notes, "links", "headings", keep=("title", "ctx", "name", "committed_ts"), spans=True), "parsed")
+        return lint.Wiki(p, lambda: p, lambda: written(graph.edges(p), "edges"), NOW)
 
     def named(self, rows: DataFrame, key: str = "key", name: str = "note") -> DataFrame:
         return rows.withColumn(name, F.replace(key, F.lit("\u0001"), F.lit("/")))
@@ -69,19 +73,19 @@ def note_commit_ts(spark, d):
 @query("refs_links", sql("SELECT src AS note, dst AS target, heading, alias, line::INT AS line, count(*) AS n FROM LK GROUP BY ALL"))
 def refs_links(spark, d):
     w = World(spark, d)
-    return w.named(extract.refs(w.parsed(), "link")).groupBy("note", F.col("dst_name").alias("target"), "heading", "alias", "line").agg(F.count("*").alias("n"))
+    return w.named(extract.refs(w.parsed("links"), "link")).groupBy("note", F.col("dst_name").alias("target"), "heading", "alias", "line").agg(F.count("*").alias("n"))
 
 
 @query("refs_tags", sql("SELECT key AS note, tag FROM T"))
 def refs_tags(spark, d):
     w = World(spark, d)
-    return w.named(extract.note_tags(w.parsed())).select("note", X.tag_display("tag").alias("tag"))
+    return w.named(extract.note_tags(w.parsed("tags"))).select("note", X.tag_display("tag").alias("tag"))
 
 
 @query("refs_embeds", sql("SELECT src AS note, dst AS target, heading FROM EM"))
 def refs_embeds(spark, d):
     w = World(spark, d)
-    return w.named(extract.refs(w.parsed(), "embed")).select("note", F.col("dst_name").alias("target"), "heading")
+    return w.named(extract.refs(w.parsed("embeds"), "embed")).select("note", F.col("dst_name").alias("target"), "heading")
 
 
 @query("headings_all", sql("""
@@ -89,15 +93,26 @@ SELECT key AS note, 'P' || k AS text, 1 AS level, 1 AS line, NULL AS parent FROM
 UNION ALL SELECT key, key, 1, 1, NULL FROM C UNION ALL SELECT key, 'O' || k, 1, 1, NULL FROM O UNION ALL SELECT key, 'Lines', 2, 7, 'O' || k FROM O"""))
 def headings_all(spark, d):
     w = World(spark, d)
-    return w.named(extract.headings(w.parsed())).select("note", "text", "level", "line", "parent")
+    return w.named(extract.headings(w.parsed("headings"))).select("note", "text", "level", "line", "parent")
 
 
-@query("section_body", sql("SELECT key AS note, (length(p_name) + 2)::INT AS chars FROM P WHERE p_size > 25 AND p_size % 10 <> 0 AND k % 7 <> 0 AND k % 5 <> 0 AND key NOT IN (SELECT src FROM EM)"))
+_SPEC = """
+SELECT key AS note, CASE WHEN p_size > 25 THEN 'spec' ELSE 'notes' END AS section, md5(chr(10) || p_name || chr(10)
+  || CASE WHEN p_size % 10 = 0 THEN chr(10) || 'See also [[' || key || ']]' || chr(10) ELSE '' END
+  || CASE WHEN k % 7 = 0 THEN chr(10) || '![img](https://img.example.com/p' || k || '.png)' || chr(10) ELSE '' END
+  || CASE WHEN k % 5 = 0 THEN chr(10) || '```sql' || chr(10) || 'select ''[[not/a/link]]'', ' || k || chr(10) || '```' || chr(10) ELSE '' END
+  || coalesce(chr(10) || '![[' || EM.dst || ']]' || chr(10), '')) AS digest
+FROM P LEFT JOIN EM ON EM.src = P.key
+UNION ALL SELECT O.key, 'lines', md5(coalesce(chr(10) || x.items, '') || coalesce(chr(10) || '![[' || EM.dst || '#Spec]]' || chr(10), ''))
+FROM O LEFT JOIN (SELECT l_orderkey, string_agg('- [' || CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_linestatus = 'F' THEN 'x' ELSE ' ' END || '] ship [[' || pk || '#Spec]] qty ' || l_quantity::INT || chr(10), '' ORDER BY rn) AS items FROM L GROUP BY 1) x ON x.l_orderkey = O.k
+LEFT JOIN EM ON EM.src = O.key"""
+
+
+@query("section_body", sql(_SPEC))
 def section_body(spark, d):
-    """Length of the section Spec of part notes that hold nothing else in it."""
-    w = World(spark, d)
-    plain = ~F.col("md_text").rlike(r"See also|!\[|```")
-    return w.notes.where(F.col("title").startswith("P") & plain).select(F.col("name").alias("note"), F.length(extract.section_of("md_text", F.lit("spec"))).alias("chars")).where("chars is not null")
+    """Digest of the text of the sections Spec, Notes and Lines of all notes that have them, whatever they hold."""
+    w = World(spark, d).notes.select(F.col("name").alias("note"), "md_text", F.explode(F.array(*map(F.lit, ("spec", "notes", "lines")))).alias("section"))
+    return w.select("note", "section", F.md5(extract.section_of("md_text", "section")).alias("digest")).where("digest is not null")
 
 
 _SECTIONS = """
@@ -119,7 +134,7 @@ def section_lengths(spark, d):
 @query("code_blocks_all", sql("SELECT key AS note, 'sql' AS lang, 'select ''[[not/a/link]]'', ' || k || chr(10) AS content FROM P WHERE k % 5 = 0"))
 def code_blocks_all(spark, d):
     w = World(spark, d)
-    return w.named(extract.code_blocks(w.parsed())).select("note", "lang", "content")
+    return w.named(extract.code_blocks(w.parsed("code"))).select("note", "lang", "content")
 
 
 _TASK = "SELECT O.key AS note, CASE WHEN l_returnflag = 'R' THEN 'deferred' WHEN l_linestatus = 'F' THEN 'done' ELSE 'open' END AS status, 'ship ' || pk || '#Spec qty ' || l_quantity::INT AS text, (8 + rn)::INT AS line FROM L JOIN O ON O.k = L.l_orderkey"
@@ -128,32 +143,38 @@ _TASK = "SELECT O.key AS note, CASE WHEN l_returnflag = 'R' THEN 'deferred' WHEN
 @query("task_items_all", sql(_TASK))
 def task_items_all(spark, d):
     w = World(spark, d)
-    return w.named(extract.tasks(w.parsed())).select("note", "status", "text", "line")
+    return w.named(extract.tasks(w.parsed("tasks"))).select("note", "status", "text", "line")
 
 
 @query("todo_open", sql(f"SELECT note, text, line FROM ({_TASK}) WHERE status = 'open'"))
 def todo_open(spark, d):
     """Open tasks by context, title and line."""
-    w = World(spark, d, keep=True)
-    rows = extract.tasks(w.parsed(), "open").join(w.notes.select("key", "name", "title", "ctx"), "key")
+    w = World(spark, d)
+    rows = extract.tasks(w.parsed("tasks"), "open").join(w.notes.select("key", "name", "title", "ctx"), "key")
     return rows.orderBy(F.coalesce(F.array_join("ctx", "/"), F.lit("")), "title", "line").select(F.col("name").alias("note"), "text", "line")
 
 
 @query("todo_status_counts", sql(f"SELECT status, count(*) AS n FROM ({_TASK}) GROUP BY 1"))
 def todo_status_counts(spark, d):
-    return extract.tasks(World(spark, d).parsed()).groupBy("status").agg(F.count("*").alias("n"))
+    return extract.tasks(World(spark, d).parsed("tasks")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("images_thumbnail", sql("SELECT key AS note, 'https://img.example.com/p' || k || '.png' AS thumbnail FROM P WHERE k % 7 = 0"))
 def images_thumbnail(spark, d):
     w = World(spark, d)
-    return w.named(extract.thumbnails(w.parsed())).select("note", "thumbnail")
+    return w.named(extract.thumbnails(w.parsed("images"))).select("note", "thumbnail")
+
+
+@query("images_all", sql("SELECT key AS note, 0 AS pos, 'https://img.example.com/p' || k || '.png' AS url FROM P WHERE k % 7 = 0"))
+def images_all(spark, d):
+    w = World(spark, d)
+    return w.named(extract.images(w.parsed("images"))).select("note", "pos", "url")
 
 
 @query("edges_distinct", sql("SELECT src, dst FROM E"))
 def edges_distinct(spark, d):
     w = World(spark, d)
-    return w.named(graph.edges(w.parsed()), "src", "src").select("src", F.col("dst_name").alias("dst"))
+    return w.named(graph.edges(w.parsed("links")), "src", "src").select("src", F.col("dst_name").alias("dst"))
 
 
 @query("get_note", sql("SELECT key AS note, title, ctx, ts AS committed_ts FROM N WHERE key = (SELECT min(key) FROM O)"))
@@ -169,14 +190,14 @@ def links_of_note(spark, d):
     w = World(spark, d, keep=True)
     some = w.notes.where(F.col("title").startswith("O") & (F.expr("int(substring(title, 2))") % 3 == 0) & F.contains("md_text", F.lit("qty")))
     one = w.notes.join(some.agg(F.min("name").alias("name")), "name", "left_semi")
-    return graph.links_of(w.notes, w.parsed(), one).select("kind", "target", "heading")
+    return graph.links_of(w.notes, w.parsed("links", "embeds"), one).select("kind", "target", "heading")
 
 
 @query("backlinks_of_note", sql("SELECT src AS note FROM E WHERE dst = (SELECT min(key) FROM P)"))
 def backlinks_of_note(spark, d):
-    w = World(spark, d, keep=True)
+    w = World(spark, d)
     one = w.notes.join(w.notes.where(F.col("title").startswith("P")).agg(F.min("name").alias("name")), "name", "left_semi")
-    return graph.backlinks_of(w.notes, graph.edges(w.parsed()), one).select(F.col("name").alias("note"))
+    return graph.backlinks_of(w.notes, graph.edges(w.parsed("links")), one).select(F.col("name").alias("note"))
 
 
 _BACK = "SELECT N.key AS note, count(E.src) AS backlinks FROM N LEFT JOIN E ON E.dst = N.key GROUP BY 1"
@@ -184,8 +205,8 @@ _BACK = "SELECT N.key AS note, count(E.src) AS backlinks FROM N LEFT JOIN E ON E
 
 @query("backlink_counts", sql(_BACK))
 def backlink_counts(spark, d):
-    w = World(spark, d, keep=True)
-    return graph.backlink_counts(w.notes, graph.edges(w.parsed())).select(F.col("name").alias("note"), "backlinks")
+    w = World(spark, d)
+    return graph.backlink_counts(w.notes, graph.edges(w.parsed("links"))).select(F.col("name").alias("note"), "backlinks")
 
 
 @query("most_linked", sql(f"SELECT * FROM ({_BACK}) ORDER BY backlinks DESC, note LIMIT 20"))
@@ -196,46 +217,51 @@ def most_linked(spark, d):
 
 @query("tag_list_counts", sql("SELECT tag AS title, count(*) AS n FROM TM GROUP BY 1"))
 def tag_list_counts(spark, d):
-    return tags.for_listing(tags.counts(extract.note_tags(World(spark, d).parsed()))).select("title", "n")
+    return tags.for_listing(tags.counts(extract.note_tags(World(spark, d).parsed("tags")))).select("title", "n")
 
 
 @query("tag_top15", sql("SELECT tag AS title, count(*) AS n FROM TM GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"))
 def tag_top15(spark, d):
-    return tags.top(tags.counts(extract.note_tags(World(spark, d).parsed()))).select("title", "n")
+    return tags.top(tags.counts(extract.note_tags(World(spark, d).parsed("tags")))).select("title", "n")
 
 
 @query("tag_members", sql("SELECT tag, key AS note FROM TM"))
 def tag_members(spark, d):
     w = World(spark, d)
-    return w.named(tags.members(extract.note_tags(w.parsed()))).select(X.tag_display("tag").alias("tag"), "note")
+    return w.named(tags.members(extract.note_tags(w.parsed("tags")))).select(X.tag_display("tag").alias("tag"), "note")
 
 
 @query("tag_set", sql("SELECT DISTINCT tag, len(string_split(tag, '/'))::INT AS depth, string_split(tag, '/')[-1] AS leaf FROM TM"))
 def tag_set(spark, d):
-    return tags.tag_set(extract.note_tags(World(spark, d).parsed())).select(X.tag_display("tag").alias("tag"), F.size("tag").alias("depth"), X.tag_leaf("tag").alias("leaf"))
+    return tags.tag_set(extract.note_tags(World(spark, d).parsed("tags"))).select(X.tag_display("tag").alias("tag"), F.size("tag").alias("depth"), X.tag_leaf("tag").alias("leaf"))
 
 
 @query("tag_members_of", sql("SELECT key AS note FROM TM WHERE tag = 'status/F'"))
 def tag_members_of(spark, d):
     w = World(spark, d)
-    return w.named(tags.members_of(extract.note_tags(w.parsed()), ["status", "F"])).select("note")
+    return w.named(tags.members_of(extract.note_tags(w.parsed("tags")), ["status", "F"])).select("note")
 
 
+# Byte offsets in the texts of rendered.py, which are ASCII: what stands before the block of a link, and the lines of an order before item rn.
+_SELF_AT = "(length(k::VARCHAR) + length(t) + length(b) + length(p_name) + CASE WHEN p_size > 25 THEN 41 ELSE 42 END)"
+_HEAD_AT = "(length(O.k::VARCHAR) + length(O.s) + length(O.o_custkey::VARCHAR) + 67 + coalesce(sum(length(L.pk) + length(l_quantity::INT::VARCHAR) + 26) OVER (PARTITION BY O.k ORDER BY L.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 11)"
+_NO_SPAN = "NULL::INT AS span_begin, NULL::INT AS span_end"
 _LINT = {
-    "dead_end": ("dead-end", "SELECT key AS note, 'note has no links to other notes' AS message FROM N WHERE key NOT IN (SELECT src FROM E)"),
-    "lonely": ("lonely", "SELECT key AS note, 'note is not linked from any other note' AS message FROM N WHERE key NOT IN (SELECT dst FROM E)"),
-    "self_link": ("self-link", "SELECT src AS note, 'note links to itself' AS message FROM E WHERE src = dst"),
-    "overlinking": ("overlinking", "SELECT src AS note, 'link [[' || dst || ']] appears ' || count(*) || ' times' AS message FROM LK GROUP BY src, dst HAVING count(*) > 1"),
-    "broken_link": ("broken-link", "SELECT src AS note, 'broken wikilink: [[' || dst || ']]' AS message FROM E WHERE dst NOT IN (SELECT key FROM N)"),
-    "broken_heading": ("broken-heading-ref", "SELECT src AS note, 'broken heading reference: [[' || dst || '#' || heading || ']] (heading not found in target note)' AS message FROM LK JOIN P ON P.key = dst WHERE heading IS NOT NULL AND p_size <= 25"),
-    "stale": ("stale-by-git", f"SELECT key AS note, 'note not updated in ' || (({NOW} - ts) // 86400) || ' days' AS message FROM N WHERE ts < {NOW} - 180 * 86400"),
+    "dead_end": ("dead-end", f"SELECT key AS note, 'note has no links to other notes' AS message, {_NO_SPAN} FROM N WHERE key NOT IN (SELECT src FROM E)"),
+    "lonely": ("lonely", f"SELECT key AS note, 'note is not linked from any other note' AS message, {_NO_SPAN} FROM N WHERE key NOT IN (SELECT dst FROM E)"),
+    "self_link": ("self-link", f"SELECT key AS note, 'note links to itself' AS message, {_SELF_AT} AS span_begin, {_SELF_AT} + length(key) + 4 AS span_end FROM P WHERE p_size % 10 = 0"),
+    "overlinking": ("overlinking", f"SELECT src AS note, 'link [[' || dst || ']] appears ' || count(*) || ' times' AS message, {_NO_SPAN} FROM LK GROUP BY src, dst HAVING count(*) > 1"),
+    "broken_link": ("broken-link", f"SELECT src AS note, 'broken wikilink: [[' || dst || ']]' AS message, {_NO_SPAN} FROM E WHERE dst NOT IN (SELECT key FROM N)"),
+    "broken_heading": ("broken-heading-ref", f"""SELECT src AS note, 'broken heading reference: [[' || dst || '#Spec]] (heading not found in target note)' AS message, min(pos) OVER (PARTITION BY src, dst) AS span_begin, min(pos) OVER (PARTITION BY src, dst) + length(dst) + 9 AS span_end
+        FROM (SELECT O.key AS src, L.pk AS dst, {_HEAD_AT} AS pos FROM L JOIN O ON O.k = L.l_orderkey) JOIN P ON P.key = dst WHERE p_size <= 25"""),
+    "stale": ("stale-by-git", f"SELECT key AS note, 'note not updated in ' || (({NOW} - ts) // 86400) || ' days' AS message, {_NO_SPAN} FROM N WHERE ts < {NOW} - 180 * 86400"),
 }
 
 
 def _lint(rule: str):
     def run(spark, d):
-        rows = lint.lint(World(spark, d).lint(), [rule])
-        return rows.select(F.regexp_replace("path", r"\.md$", "").alias("note"), "message")
+        rows = lint.lint(World(spark, d).lint(rule), [rule])
+        return rows.select(F.regexp_replace("path", r"\.md$", "").alias("note"), "message", "span_begin", "span_end")
 
     return run
 
@@ -246,13 +272,13 @@ for _name, (_rule, _text) in _LINT.items():
 
 @query("lint_summary", sql("SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, note FROM ({t})" for r, t in _LINT.values()) + ") GROUP BY 1"))
 def lint_summary(spark, d):
-    return lint.lint(World(spark, d).lint(), "all").groupBy("rule").agg(F.count("*").alias("n"))
+    return lint.lint(World(spark, d).lint("all"), "all").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("embed_closure", sql(", CL AS (SELECT DISTINCT src AS root, dst AS reached FROM EM UNION SELECT CL.root, EM.dst FROM CL JOIN EM ON EM.src = CL.reached) SELECT root, reached FROM CL", rec=True))
 def embed_closure(spark, d):
-    w = World(spark, d, keep=True)
-    pairs = graph.closure(graph.embed_edges(w.notes, w.parsed()))
+    w = World(spark, d)
+    pairs = graph.closure(graph.embed_edges(w.notes, w.parsed("embeds")))
     return w.named(w.named(pairs, "root", "root"), "reached", "reached").select("root", "reached")
 
 
@@ -267,8 +293,8 @@ def index_by_date(spark, d):
 
 @query("index_by_links", sql(f", {_ORDERED} SELECT note, by_links AS row, backlinks FROM R"))
 def index_by_links(spark, d):
-    w = World(spark, d, keep=True)
-    return site.positions(graph.backlink_counts(w.notes, graph.edges(w.parsed())), site.by_links()).select(F.col("name").alias("note"), "row", "backlinks")
+    w = World(spark, d)
+    return site.positions(graph.backlink_counts(w.notes, graph.edges(w.parsed("links"))), site.by_links()).select(F.col("name").alias("note"), "row", "backlinks")
 
 
 @query("index_paging", sql(f", {_ORDERED} SELECT (by_date - 1) // 20 + 1 AS page, count(*) AS n, min(note) AS first, max(note) AS last FROM R GROUP BY 1"))
@@ -286,8 +312,8 @@ def page_pointers(spark, d):
 
 @query("build_page_count", sql("SELECT (count(*) + 19) // 20 AS index_pages, count(*) AS notes, (SELECT count(DISTINCT tag) FROM TM) AS tags, (count(*) + 19) // 20 + count(*) + 1 + (SELECT count(DISTINCT tag) FROM TM) AS files FROM N"))
 def build_page_count(spark, d):
-    w = World(spark, d, keep=True)
-    return site.page_count(w.notes, tags.tag_set(extract.note_tags(w.parsed())), 20)
+    w = World(spark, d)
+    return site.page_count(w.notes, tags.tag_set(extract.note_tags(w.parsed("tags"))), 20)
 
 
 # Titles and contexts of the rendered wiki hold no sign that a slug spells as a word, so lower case and dashes are their slugs.
@@ -301,56 +327,56 @@ def search_index(spark, d):
 
 @query("link_href", sql(f"SELECT src AS note, dst AS target, '{BASE}notes/' || replace(lower(dst), ' ', '-') || '.html' || coalesce('#' || lower(heading), '') AS href FROM LK WHERE dst IN (SELECT key FROM N)"))
 def link_href(spark, d):
-    w = World(spark, d, keep=True)
-    rows = extract.refs(w.parsed(), "link").join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
+    w = World(spark, d)
+    rows = extract.refs(w.parsed("links"), "link").join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
     href = F.concat(X.note_href(BASE, "ctx", "title"), F.coalesce(F.concat(F.lit("#"), X.slug_dash("heading")), F.lit("")))
     return w.named(rows).select("note", F.col("dst_name").alias("target"), href.alias("href"))
 
 
 @query("tag_href", sql(f"SELECT DISTINCT tag, '{BASE}tags/' || replace(lower(tag), ' ', '-') || '.html' AS href FROM TM"))
 def tag_href(spark, d):
-    return tags.tag_set(extract.note_tags(World(spark, d).parsed())).select(X.tag_display("tag").alias("tag"), X.tag_href(BASE, "tag").alias("href"))
+    return tags.tag_set(extract.note_tags(World(spark, d).parsed("tags"))).select(X.tag_display("tag").alias("tag"), X.tag_href(BASE, "tag").alias("href"))
 
 
 # --- the wiki tables as they are -------------------------------------------------------------
 
 
-def _vault(spark, d) -> DataFrame:
+def _vault(spark, d, *wanted: str) -> DataFrame:
     """Parsed ``wiki_notes``, keyed by the note's id."""
-    return extract.parse(table(spark, d, "wiki_notes").select(F.col("note_id").cast("string").alias("key"), "md_text"))
+    return extract.parse(table(spark, d, "wiki_notes").select(F.col("note_id").cast("string").alias("key"), "md_text"), *wanted)
 
 
 @query("vault_links", "SELECT DISTINCT src_id AS note_id, pos, array_to_string(list_append(ctx_path, title), '/') AS target, heading, alias FROM wiki_link_refs")
 def vault_links(spark, d):
     """Plain links of all notes, position among the plain links."""
-    rows = _vault(spark, d).withColumn("refs", F.filter("refs", lambda x: x["kind"] == "link"))
+    rows = _vault(spark, d, "links").withColumn("refs", F.filter("refs", lambda x: x["kind"] == "link"))
     return extract.refs(rows).select(F.col("key").cast("bigint").alias("note_id"), "pos", F.col("dst_name").alias("target"), "heading", "alias")
 
 
 @query("vault_tags", "SELECT DISTINCT src_id AS note_id, array_to_string(path, '/') AS tag, line FROM tag_refs")
 def vault_tags(spark, d):
-    return extract.refs(_vault(spark, d), "tag").select(F.col("key").cast("bigint").alias("note_id"), F.col("dst_name").alias("tag"), "line").distinct()
+    return extract.refs(_vault(spark, d, "tags"), "tag").select(F.col("key").cast("bigint").alias("note_id"), F.col("dst_name").alias("tag"), "line").distinct()
 
 
 @query("vault_headings", "SELECT DISTINCT note_id, pos, level, text, line, parent FROM headings")
 def vault_headings(spark, d):
-    return extract.headings(_vault(spark, d)).select(F.col("key").cast("bigint").alias("note_id"), "pos", "level", "text", "line", "parent")
+    return extract.headings(_vault(spark, d, "headings")).select(F.col("key").cast("bigint").alias("note_id"), "pos", "level", "text", "line", "parent")
 
 
 @query("vault_thumbnails", "SELECT note_id, thumbnail FROM wiki_notes WHERE thumbnail IS NOT NULL")
 def vault_thumbnails(spark, d):
-    return extract.thumbnails(_vault(spark, d)).select(F.col("key").cast("bigint").alias("note_id"), "thumbnail")
+    return extract.thumbnails(_vault(spark, d, "images")).select(F.col("key").cast("bigint").alias("note_id"), "thumbnail")
 
 
 @query("vault_link_sets", "SELECT note_id, unnest(links) AS target FROM wiki_notes")
 def vault_link_sets(spark, d):
-    return graph.edges(_vault(spark, d)).select(F.col("src").cast("bigint").alias("note_id"), F.col("dst_name").alias("target"))
+    return graph.edges(_vault(spark, d, "links")).select(F.col("src").cast("bigint").alias("note_id"), F.col("dst_name").alias("target"))
 
 
 @query("vault_note_tags", "SELECT note_id, array_to_string(tags, ' | ') AS tags FROM wiki_notes WHERE len(tags) > 0")
 def vault_note_tags(spark, d):
     """Distinct tags of each note in order of first occurrence."""
-    rows = extract.note_tags(_vault(spark, d)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", X.tag_display("tag").alias("tag")))).alias("x"))
+    rows = extract.note_tags(_vault(spark, d, "tags")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", X.tag_display("tag").alias("tag")))).alias("x"))
     return rows.select(F.col("key").cast("bigint").alias("note_id"), F.array_join("x.tag", " | ").alias("tags"))
 
 
@@ -379,11 +405,28 @@ def search_empty_query(spark, d):
     return search.search(table(spark, d, "documents"), "", order="doc_id").select("doc_id")
 
 
+_SPACE_SQL = "[\\s\\p{Z}\\x{0B}\\x{85}]"
+
+
 def _slug_sql(c: str) -> str:
-    out = f"lower(trim({c}))"
+    out = f"lower(regexp_replace({c}, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g'))"
     for sign, word in X.SIGN_WORDS.items():
         out = f"replace({out}, '{sign.replace(chr(39), chr(39) * 2)}', '-{word}-')"
-    return f"regexp_replace(regexp_replace(regexp_replace({out}, '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, '{_SPACE_SQL}+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query("slug_titles", "SELECT DISTINCT v AS text, " + _slug_sql("v") + " AS slug FROM (SELECT title AS v FROM wiki_notes UNION ALL SELECT title FROM wiki_link_refs UNION ALL SELECT heading FROM wiki_link_refs WHERE heading IS NOT NULL)")
+def slug_titles(spark, d):
+    """Dash slugs of all titles and headings that are written in notes, in whatever characters."""
+    notes, links = table(spark, d, "wiki_notes"), table(spark, d, "wiki_link_refs")
+    v = notes.select(F.col("title").alias("text")).union(links.select("title")).union(links.where("heading is not null").select("heading"))
+    return v.distinct().select("text", X.slug_dash("text").alias("slug"))
+
+
+@query("slug_heading_titles", "SELECT DISTINCT title AS text, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, '[\\s\\p{Z}\\x{85}-]+', '-', 'g')), '[^\\p{L}\\p{N}-]+', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM wiki_notes")
+def slug_heading_titles(spark, d):
+    """Heading slugs of all titles of notes."""
+    return table(spark, d, "wiki_notes").select(F.col("title").alias("text")).distinct().select("text", X.slug_heading("text").alias("slug"))
 
 
 @query("slug_by_dash", "SELECT DISTINCT v AS text, " + _slug_sql("v") + " AS slug FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT r_name FROM region)")
@@ -407,9 +450,9 @@ def tag_slug(spark, d):
     return table(spark, d, "tag_refs").select("path").distinct().select(X.tag_display("path").alias("tag"), X.tag_slug("path").alias("slug"))
 
 
-@query("strip_tags", "SELECT doc_id, length(regexp_replace(text, '<[^>]*>', '', 'g')) AS chars FROM documents")
+@query("strip_tags", "SELECT doc_id, md5(regexp_replace(text, '<[^>]*>', '', 'g')) AS digest FROM documents")
 def strip_tags(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(X.strip_tags("text")).cast("bigint").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.strip_tags("text")).alias("digest"))
 
 
 @query("html_escape", "SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS digest FROM documents")

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from notegrid.functions import expr as X
+from notegrid.functions.markdown import heading_slug
 from notegrid.operators import extract, graph, lint, search, site, tags
 from notegrid.plans.scratch import written
 from notegrid.sources import commits, markdown_files
@@ -53,7 +54,7 @@ class Wiki:
     @cached_property
     def parsed(self) -> DataFrame:
         """What the scan finds, written once for all queries."""
-        return written(extract.parse(self.notes), "parsed")
+        return written(extract.parse(self.notes, spans=True), "parsed")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -68,7 +69,7 @@ class Wiki:
         names = parse_fields(fields)
         one = graph.require(self.notes, title, ctx)
         if heading is not None:
-            one = one.withColumn("md_text", extract.section_of("md_text", F.lit(heading)))
+            one = one.withColumn("md_text", extract.section_of("md_text", F.lit(heading_slug(heading))))
             if one.where("md_text is not null").isEmpty():
                 raise SectionNotFound(heading)
         row = one.withColumn("body", F.col("md_text"))
@@ -106,7 +107,7 @@ class Wiki:
     def lint(self, rules: list[str] | str | None = None, now: int | None = None) -> DataFrame:
         days = self.config.stale_days or lint.STALE_DAYS
         now = now if self.config.stale_days or rules else None
-        return lint.lint(lint.Wiki(self.notes, self.parsed, self.edges, now, days), rules)
+        return lint.lint(lint.Wiki(self.notes, lambda: self.parsed, lambda: self.edges, now, days), rules)
 
     def site_notes(self) -> DataFrame:
         """Notes that become pages: all but the root README."""
