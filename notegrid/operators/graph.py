@@ -13,9 +13,9 @@ class NoteNotFound(LookupError):
 
 
 def edges(parsed: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of plain links and, where the scan looked for it, where the link first begins; embeds are no edges."""
+    """Distinct (src, dst) of plain links, how often each is written and, where the scan looked for it, where it first begins; embeds are no edges."""
     rows = extract.refs(parsed, "link").select(F.col("key").alias("src"), "dst", "dst_name", "span")
-    return rows.groupBy("src", "dst", "dst_name").agg(F.min("span").alias("span"))
+    return rows.groupBy("src", "dst", "dst_name").agg(F.count("*").alias("n"), F.min("span").alias("span"))
 
 
 def lookup(notes: DataFrame, title: str, ctx: list[str] | None = None) -> DataFrame:

@@ -66,8 +66,8 @@ def self_link(w: Wiki) -> DataFrame:
 
 
 def overlinking(w: Wiki) -> DataFrame:
-    many = extract.refs(w.parsed, "link").groupBy("key", "dst", "dst_name").agg(F.count("*").alias("n"), F.min("span").alias("span")).where("n > 1")
-    return _warnings(many, "overlinking", F.concat(F.lit("link "), _link(), F.lit(" appears "), F.col("n").cast("string"), F.lit(" times")), path_of_key("key"), _link())
+    message = F.concat(F.lit("link "), _link(), F.lit(" appears "), F.col("n").cast("string"), F.lit(" times"))
+    return _warnings(w.edges.where("n > 1"), "overlinking", message, path_of_key("src"), _link())
 
 
 def broken_link(w: Wiki) -> DataFrame:
@@ -76,11 +76,10 @@ def broken_link(w: Wiki) -> DataFrame:
 
 
 def broken_heading_ref(w: Wiki) -> DataFrame:
-    """One row an occurrence; a missing note is silent here."""
+    """One row an occurrence; a missing note is silent here. A note's headings are one row, so one join tells both whether it is there and what it holds."""
     asked = extract.refs(w.parsed, "link").where("heading is not null").withColumn("slug", X.slug_dash("heading")).where("slug <> ''")
-    asked = asked.join(w.notes.select(F.col("key").alias("dst")), "dst", "left_semi")
-    known = extract.headings(w.parsed).select(F.col("key").alias("dst"), X.slug_dash("text").alias("slug"))
-    lost = asked.join(known, ["dst", "slug"], "left_anti")
+    known = w.parsed.groupBy(F.col("key").alias("dst")).agg(F.flatten(F.collect_list(F.transform("headings", lambda h: X.slug_dash(h["text"])))).alias("slugs"))
+    lost = asked.join(known, "dst").where(~F.array_contains("slugs", F.col("slug")))
     link = _link(F.lit("#"), F.col("heading"))
     message = F.concat(F.lit("broken heading reference: "), link, F.lit(" (heading not found in target note)"))
     return _warnings(lost, "broken-heading-ref", message, path_of_key("key"), link, "head_span")
