@@ -1,8 +1,9 @@
 """One consistent spelling for text that looks the same.
 
-Distinct values are exploded to positioned code points; a decomposition table
-and a table of marks, scripts and look-alikes (both of a size fixed by Unicode)
-are broadcast-joined; combining marks are ordered by class inside their
+Distinct values are exploded to positioned code points; a table of all
+decompositions and one of all marks, of the letters of the three scripts and of
+36 shapes that these share (both of a size fixed by Unicode and this module) are
+broadcast-joined; combining marks are ordered by class inside their
 segment; segments are recomposed and the strings rebuilt. Look-alike letters
 are settled by word: a word that mixes scripts takes the one script to which
 letters without a twin belong.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -56,8 +58,9 @@ def decomposition(c: str) -> str | None:
     return full if full != c else None
 
 
-def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(c, parts) of decompositions and (c, class, script, lone, latin, cyrillic, greek) of marks and letters."""
+@cache
+def _rows() -> tuple[list[tuple], list[tuple]]:
+    """Rows of ``tables``; made once in a process."""
     parts, props = [], []
     twins = {}
     for row in zip(LATIN, CYRILLIC, GREEK):
@@ -80,6 +83,12 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     for n in range(0x300, 0x1E950):
         if (k := unicodedata.combining(chr(n))) and chr(n) not in {p[0] for p in props[-1:]}:
             props.append((chr(n), k, None, False, None, None, None))
+    return parts, props
+
+
+def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(c, parts) of decompositions and (c, class, script, lone, latin, cyrillic, greek) of marks and letters."""
+    parts, props = _rows()
     return (
         spark.createDataFrame(pd.DataFrame(parts, columns=["c", "parts"]), "c string, parts array<string>"),
         spark.createDataFrame(pd.DataFrame(props, columns=["c", "class", "script", "lone", "latin", "cyrillic", "greek"]), "c string, class int, script string, lone boolean, latin string, cyrillic string, greek string"),

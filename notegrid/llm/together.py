@@ -5,7 +5,9 @@ most frequent first) get a slot of a dense bit matrix, and their pairs are
 counted by popcounts; pairs of light items are counted by hash; mixed pairs by
 probing each record's heavy slots from its light list. The union is summed
 after counting inside each task. An item in fewer records than a pair must
-have is dropped first, as no pair of it can count.
+have is dropped first, as no pair of it can count. A record with more than
+``BLOCK`` light items is cut into blocks of them, and each pair of blocks is a
+unit of work of its own, so one long record is no single task.
 
 A null list or item is left out, an item repeated in a record counts once.
 """
@@ -23,6 +25,8 @@ from notegrid.plans.scratch import written
 HEAVY, SLOTS = 256, 1024
 #: Pairs a task holds before it counts them together.
 HELD = 1_000_000
+#: Light items of a record that are paired in one unit.
+BLOCK = 2000
 
 
 def _popcounts(slot: np.ndarray, rec: np.ndarray, n: int, into: np.ndarray) -> None:
@@ -64,6 +68,8 @@ def _within(values: np.ndarray, rec: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def _pairs(batches: Iterator[pd.DataFrame], ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows: heavy slots and light items of a record; of a cut one, two blocks (light, other), or one block with its heavy
+    slots, which count among themselves with the ``first`` block only."""
     dense = np.zeros((len(ids), len(ids)), np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     total = 0
@@ -74,6 +80,11 @@ def _pairs(batches: Iterator[pd.DataFrame], ids: np.ndarray) -> Iterator[pd.Data
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": n})
 
     def groups(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        crossed = pdf["other"].map(len).to_numpy() > 0
+        for light, other in zip(pdf["light"][crossed], pdf["other"][crossed]):
+            for k in range(0, len(other), 128):
+                yield np.tile(light, len(other[k : k + 128])), np.repeat(other[k : k + 128], len(light))
+        pdf = pdf[~crossed].reset_index(drop=True)
         light, rec = _flat(pdf["light"])
         yield from _within(light, rec)
         heavy, own = _flat(pdf["heavy"])
@@ -83,8 +94,9 @@ def _pairs(batches: Iterator[pd.DataFrame], ids: np.ndarray) -> Iterator[pd.Data
             for k in range(int(n.max())):
                 has = n[rec] > k
                 yield ids[heavy[at[has] + k]], light[has]
-        if len(heavy):
-            _popcounts(heavy, own, len(pdf), dense)
+        first = pdf["first"].to_numpy(bool)[own]
+        if first.any():
+            _popcounts(heavy[first], own[first], len(pdf), dense)
 
     for pdf in batches:
         for a, b in groups(pdf):
@@ -111,12 +123,25 @@ def together(records: DataFrame, lists: dict[str, str], least: int = 5) -> DataF
     ids = np.array([r["id"] for r in slots], np.int64)
     slot_of = records.sparkSession.createDataFrame([(int(x), k) for k, x in enumerate(ids)], "id bigint, slot int")
     heavy = F.broadcast(counts.join(F.broadcast(slot_of), "id").select("kind", "item", "slot"))
-    light = counts.join(F.broadcast(slot_of), "id", "left_anti").select("kind", "item", "id")
-    none = F.lit(None)
-    both = rows.join(heavy, ["kind", "item"]).select("rec", "kind", "slot", none.cast("bigint").alias("id")).unionByName(
-        rows.join(heavy, ["kind", "item"], "left_anti").join(light, ["kind", "item"]).select("rec", "kind", none.cast("int").alias("slot"), "id"))
+    light = counts.join(F.broadcast(slot_of), "id", "left_anti").select("kind", F.col("item").alias("sought"), "id")
+    # one branch, so a record keeps its number; heavy items seek a key of their own, which no light item has
+    sought = F.when(F.col("slot").isNull(), F.col("item")).otherwise(F.concat(F.lit("\0"), F.col("rec").cast("string"), F.lit("\0"), F.col("slot").cast("string")))
+    both = rows.join(heavy, ["kind", "item"], "left").withColumn("sought", sought).join(light, ["kind", "sought"], "left")
+    both = both.withColumn("id", F.when(F.col("slot").isNull(), F.col("id"))).where("slot is not null or id is not null")
     baskets = both.groupBy("rec", "kind").agg(F.collect_list("slot").alias("heavy"), F.collect_list("id").alias("light")).where(F.size("heavy") + F.size("light") > 1)
-    counted = baskets.select("heavy", "light").mapInPandas(lambda it: _pairs(it, ids), "a bigint, b bigint, n bigint")
+    baskets = written(baskets.select("heavy", "light"), "baskets")
+    none = F.array().cast("array<bigint>")
+    units = baskets.where(F.size("light") <= BLOCK).select("heavy", "light", none.alias("other"), F.lit(True).alias("first"))
+    long = baskets.where(F.size("light") > BLOCK)
+    if not long.isEmpty():
+        long = long.withColumns({"row": F.monotonically_increasing_id(), "n": F.ceil(F.size("light") / BLOCK).cast("int")})
+        long = long.withColumn("x", F.explode(F.expr("flatten(transform(sequence(0, n - 1), i -> transform(sequence(i, n - 1), j -> struct(i, j))))")))
+        part = lambda k: F.slice("light", F.col(f"x.{k}") * BLOCK + 1, F.lit(BLOCK))
+        same = F.col("x.i") == F.col("x.j")
+        cut = long.select("row", "x", F.when(same, F.col("heavy")).otherwise(F.array().cast("array<int>")).alias("heavy"), part("i").alias("light"), F.when(same, none).otherwise(part("j")).alias("other"), (F.col("x.j") == 0).alias("first"))
+        parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        units = units.unionByName(cut.repartition(parts, "row", "x.i", "x.j").select("heavy", "light", "other", "first"))
+    counted = units.mapInPandas(lambda it: _pairs(it, ids), "a bigint, b bigint, n bigint")
     summed = counted.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     a = counts.select(F.col("id").alias("a"), "kind", F.col("item").alias("x"), F.col("n_item").alias("nx"))
     b = counts.select(F.col("id").alias("b"), F.col("item").alias("y"), F.col("n_item").alias("ny"))

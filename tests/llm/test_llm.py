@@ -209,9 +209,10 @@ def test_odd_spellings(spark):
 # --- 4 items together ---------------------------------------------------------
 
 
-@pytest.mark.parametrize("heavy", [1, 256])
-def test_pairs(spark, heavy, monkeypatch):
+@pytest.mark.parametrize("heavy, block", [(1, 2000), (256, 2000), (4, 2), (1, 1)])
+def test_pairs(spark, heavy, block, monkeypatch):
     monkeypatch.setattr(together, "HEAVY", heavy)
+    monkeypatch.setattr(together, "BLOCK", block)
     monkeypatch.setattr(together, "HELD", 50)
     rng = random.Random(heavy)
     items = [f"i{k}" for k in range(30)]
