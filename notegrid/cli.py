@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from notegrid.sources import site_writer
-    from notegrid.wiki import Wiki
+    from notegrid.wiki import PUBLIC_FIELDS, Wiki
 
     path = os.path.join(folder, ".notegrid.toml")
     config = cfg.load(path) if os.path.exists(path) else cfg.Config()
@@ -56,20 +56,37 @@ def main(argv: list[str] | None = None) -> int:
     w = Wiki.from_folder(spark, folder, config, git=a.command == "lint" or getattr(a, "git", False))
     ctx = a.ctx.split("/") if getattr(a, "ctx", None) else None
     if a.command == "build":
-        print(site_writer.build(w, os.path.join(folder, config.output_dir)), "pages")
+        print(site_writer.build(w, os.path.join(folder, config.output_dir), lambda x: print(x, file=sys.stderr)), "pages")
+        w.close()
         return 0
+    listing = a.command == "tag" and a.tag_command == "list"
     rows = {
-        "get": lambda: w.get(a.title, ctx, a.fields, a.heading), "links": lambda: w.links(a.title, ctx), "backlinks": lambda: w.backlinks(a.title, ctx),
+        "get": lambda: w.get(a.title, ctx, a.fields, a.heading, PUBLIC_FIELDS), "links": lambda: w.links(a.title, ctx), "backlinks": lambda: w.backlinks(a.title, ctx),
         "search": lambda: w.search(a.query, a.num, a.logic), "todo": lambda: w.todo(a.status), "lint": lambda: w.lint(a.rule, int(time.time())),
-        "tag": lambda: w.tags() if a.tag_command == "list" else w.tag_backlinks(a.tag),
+        "tag": lambda: (w.tags() if a.json else w.tags_for_text()) if listing else w.tag_backlinks(a.tag),
     }[a.command]()
     if a.json:
-        print(w.results_json(rows).collect()[0]["json"])
+        print('{"results":[', end="")
+        n = 0
+        for r in w.json_lines(rows).toLocalIterator():
+            print("," * bool(n) + r["json"], end="")
+            n += 1
+        print(f'],"count":{n}}}')
     else:
         for r in rows.toLocalIterator():
-            print("\t".join("" if x is None else "/".join(x) if isinstance(x, list) and all(isinstance(y, str) for y in x) else str(x) for x in r))
+            print("\t".join(todo_line(r) if a.command == "todo" else map(shown, r)))
+    w.close()
     return 0
 
 
+def shown(x) -> str:
+    return "" if x is None else "/".join(x) if isinstance(x, list) and all(isinstance(y, str) for y in x) else str(x)
+
+
+def todo_line(r) -> list[str]:
+    """Status, label of the note (context and title), line and text of a task."""
+    return [r["status"], "/".join([*(r["ctx"] or []), r["title"]]), str(r["line"]), r["text"]]
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, functions as F
 
@@ -120,6 +121,10 @@ def is_absolute_url(url: Column | str) -> Column:
 
 def date_text(seconds: Column | str, fmt: str = "%Y-%m-%d", zone: str = "UTC") -> Column:
     """Unix seconds in a strftime format and a zone; an unknown format letter is an error."""
+    try:
+        ZoneInfo(zone)
+    except Exception as e:
+        raise ValueError(f"unknown time zone {zone!r}") from e
     out, i = "", 0
     while i < len(fmt):
         if fmt[i] == "%":
@@ -155,6 +160,12 @@ def json_row(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def json_value(value: Column | str) -> Column:
+    """JSON of any value, a scalar too; null is null."""
+    whole = F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
 def subsequence(keyword: str) -> str:
     """Regular expression for the characters of a keyword in order; linear, smart case (a capital makes it exact)."""
     fold = "" if any(c.isupper() for c in keyword) else "iu"

@@ -17,10 +17,12 @@ def is_repository(folder: str) -> bool:
 
 
 def latest(folder: str) -> dict[str, int]:
-    """Unix seconds of the last commit of each path, relative to the folder."""
+    """Unix seconds of the last commit of each path, relative to the folder; none where nothing was committed yet."""
     log = subprocess.run(
         ["git", "-C", folder, "-c", "core.quotePath=false", "log", "--format=%x00%ct", "--name-only", "--relative", "-z"],
         capture_output=True, check=False)
+    if log.returncode and subprocess.run(["git", "-C", folder, "rev-parse", "--verify", "-q", "HEAD"], capture_output=True, check=False).returncode == 0:
+        raise RuntimeError(f"the history of {folder} can't be read: {log.stderr.decode('utf-8', 'replace').strip()}")
     out: dict[str, int] = {}
     now: int | None = None
     for token in log.stdout.decode("utf-8", "replace").split("\0"):

@@ -8,6 +8,15 @@ from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
 SORT_KEYS = ("committed_date", "linked_count")
+COLOR_SCHEMES = ("os_setting", "only_light", "only_dark")
+# Two-letter language codes of ISO 639-1.
+LANGUAGES = frozenset("""
+aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa
+ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr
+ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl
+ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur
+uz ve vi vo wa wo xh yi yo za zh zu
+""".split())
 
 
 class ConfigError(ValueError):
@@ -23,6 +32,7 @@ class Config:
     output_dir: str = "_site"
     build_search_index: bool = True
     sort_key: str = "committed_date"
+    color_scheme: str = "os_setting"
     paginate_by: int | None = None
     stale_days: int | None = None
     extra: dict = field(default_factory=dict)
@@ -45,7 +55,9 @@ def load(path: str) -> Config:
         raise ConfigError(f"unknown sort key {c.sort_key!r}")
     if c.paginate_by is not None and c.paginate_by < 1:
         raise ConfigError("paginate_by must be at least 1")
-    if not (len(c.lang_code) == 2 and c.lang_code.isascii() and c.lang_code.isalpha() and c.lang_code.islower()):
+    if c.color_scheme not in COLOR_SCHEMES:
+        raise ConfigError(f"unknown colour scheme {c.color_scheme!r}")
+    if c.lang_code not in LANGUAGES:
         raise ConfigError(f"not a language code: {c.lang_code!r}")
     try:
         ZoneInfo(c.timezone)

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from notegrid.functions import expr as X
 from notegrid.functions.markdown import heading_slug
 from notegrid.operators import extract, graph, lint, search, site, tags
-from notegrid.plans.scratch import written
+from notegrid.plans.scratch import drop, written
 from notegrid.sources import commits, markdown_files
 from notegrid.sources.config import Config
 
 FIELDS = ("title", "ctx", "body", "headings", "code_blocks", "images", "links", "tags")
+#: Fields of the command line and the read tools; ``Wiki.get`` knows those above.
+PUBLIC_FIELDS = ("title", "ctx", "body", "headings", "code_blocks")
 DEFAULT_FIELDS = ("title", "ctx", "body")
 
 
@@ -64,9 +66,9 @@ class Wiki:
     def note_tags(self) -> DataFrame:
         return extract.note_tags(self.parsed)
 
-    def get(self, title: str, ctx: list[str] | None = None, fields: str | None = None, heading: str | None = None) -> DataFrame:
-        """One row with the asked fields; ``heading`` narrows body, headings, code blocks and images to a section."""
-        names = parse_fields(fields)
+    def get(self, title: str, ctx: list[str] | None = None, fields: str | None = None, heading: str | None = None, allowed: tuple[str, ...] = FIELDS) -> DataFrame:
+        """One row with the asked fields; ``heading``, as it is shown or as a slug, narrows body, headings, code blocks and images to a section."""
+        names = parse_fields(fields, allowed)
         one = graph.require(self.notes, title, ctx)
         if heading is not None:
             one = one.withColumn("md_text", extract.section_of("md_text", F.lit(heading_slug(heading))))
@@ -76,6 +78,7 @@ class Wiki:
         if set(names) & {"headings", "code_blocks", "images", "links", "tags"}:
             p = extract.parse(one).withColumnRenamed("code", "code_blocks")
             kind = lambda k: F.filter("refs", lambda x: x["kind"] == k)
+            p = p.withColumn("headings", F.transform("headings", lambda h: F.struct(*[h[k].alias(k) for k in ("level", "text", "line", "parent")])))
             p = p.withColumns({"links": kind("link"), "tags": F.array_distinct(F.transform(kind("tag"), lambda x: F.array_join(F.concat(x["ctx"], F.array(x["title"])), "/")))})
             row = row.join(p, "key")
         return row.select(*names)
@@ -92,6 +95,10 @@ class Wiki:
     def tags(self) -> DataFrame:
         return tags.for_listing(tags.counts(self.note_tags)).select("title", F.col("n").alias("backlinks_count"))
 
+    def tags_for_text(self) -> DataFrame:
+        """Tags in the order of the text listing: ties by the tag, last first."""
+        return tags.for_text(tags.counts(self.note_tags)).select("title", F.col("n").alias("backlinks_count"))
+
     def tag_backlinks(self, tag: str) -> DataFrame:
         keys = tags.members_of(self.note_tags, tag.split("/"))
         return self.notes.join(keys, "key", "left_semi").select("title", "ctx").orderBy("title")
@@ -122,7 +129,25 @@ class Wiki:
     def search_index(self) -> DataFrame:
         return site.search_index(self.site_notes(), self.config.base_url)
 
+    def close(self) -> None:
+        """Delete the tables written for this wiki; its results can't be read any more."""
+        for name in ("parsed", "edges"):
+            if name in self.__dict__:
+                drop(self.__dict__.pop(name))
+        self.__dict__.pop("note_tags", None)
+
+    def __enter__(self) -> Wiki:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @staticmethod
+    def json_lines(rows: DataFrame) -> DataFrame:
+        """One JSON object a row in the order of the rows; nulls are kept."""
+        return rows.select(X.json_row(*rows.columns).alias("json"))
+
     def results_json(self, rows: DataFrame) -> DataFrame:
-        """One JSON object {results, count} of a small result; nulls are kept."""
+        """One JSON object {results, count} of a result that fits one row; nulls are kept. The command line writes larger ones row by row."""
         body = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("results"), F.count("*").alias("count"))
         return body.select(X.json_row("results", "count").alias("json"))

@@ -1,13 +1,19 @@
+import json
+import os
+import re
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from notegrid.functions import expr as X
+from notegrid import cli, tools
+from notegrid.functions import expr as X, html, markdown
+from notegrid.functions.sql import register
 from notegrid.operators import extract, graph, lint, search, site
+from notegrid.plans import scratch
 from notegrid.sources import commits, config, markdown_files, site_writer
 from notegrid.streaming import ingest
-from notegrid.wiki import SectionNotFound, UnknownField, Wiki, parse_fields
+from notegrid.wiki import PUBLIC_FIELDS, SectionNotFound, UnknownField, Wiki, parse_fields
 
 NOTES = [
     ("Home", None, "# Home\n\n[[book/a]] [[book/a|again]] [[Home]] [[gone]] #[[t/u/v]] #[[t/u]]\n\n- [ ] task one\n", 100),
@@ -67,6 +73,15 @@ def test_get(wiki):
         parse_fields("x")
     with pytest.raises(SectionNotFound):
         wiki.get("Home", heading="nothing")
+    with pytest.raises(UnknownField):
+        wiki.get("Home", fields="links", allowed=PUBLIC_FIELDS)
+
+
+def test_get_takes_the_heading_as_it_is_shown(spark):
+    w = Wiki(spark.createDataFrame([("n", None, "# N\n\n## Spec Part: *two*\n\nbody\n\n## Next\n\nrest\n")], "title string, ctx array<string>, md_text string"))
+    for heading in ("Spec Part: two", "spec-part-two", "SPEC  part two"):
+        assert w.get("n", heading=heading).collect()[0]["body"].strip() == "body"
+    assert list(w.get("n", fields="headings").collect()[0]["headings"][1]) == [2, "Spec Part: two", 3, "N"]
 
 
 def test_todo_search_json(wiki):
@@ -173,3 +188,101 @@ def test_embed_closure_has_no_greatest_depth(spark):
     assert rows(graph.closure(chain)) == [(f"{i:03}", f"{j:03}") for i in range(n) for j in range(i + 1, n + 1)]
     ring = spark.createDataFrame([(str(i), str((i + 1) % 9)) for i in range(9)], "src string, dst string")
     assert graph.closure(ring).count() == 81
+
+
+def test_a_parse_of_some_parts_equals_the_whole_one(wiki):
+    whole = rows(extract.refs(wiki.parsed, "tag").drop("pos", "span", "head_span"))
+    assert rows(extract.refs(extract.parse(wiki.notes, "tags"), "tag").drop("pos", "span", "head_span")) == whole != []
+    kept = extract.parse(wiki.notes, "links", "headings", keep=("title", "committed_ts"), spans=True)
+    assert kept.count() == wiki.notes.count() and kept.columns[:3] == ["key", "title", "committed_ts"]
+    assert extract.parse(wiki.notes, "tasks").count() == 1 and rows(graph.edges(kept)) == rows(wiki.edges)
+
+
+def test_slugs_take_any_white_space_and_agree(spark):
+    texts = ["a\u3000b", "\u00a0 a\u00a0 b\u2003", "A\tb/c!", "--x--", "", "\u2028", "é É", "a-\u3000-b"]
+    register(spark)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.slug_dash("t").alias("d"), X.slug_heading("t").alias("h"), F.expr("wiki_slug(t)").alias("sd"), F.expr("wiki_heading_slug(t)").alias("sh")).collect():
+        assert r["d"] == r["sd"] == html.slug(r["t"]) and r["h"] == r["sh"] == markdown.heading_slug(r["t"])
+    assert html.slug("a\u3000b") == markdown.heading_slug("a\u3000b") == "a-b"
+
+
+def test_functions_for_sql(spark, wiki):
+    register(spark)
+    wiki.notes.createOrReplaceTempView("n")
+    found = spark.sql("SELECT n.name, r.title FROM n, LATERAL wiki_refs(n.md_text) r WHERE r.kind = 'link'")
+    assert rows(found) == rows(extract.refs(wiki.parsed, "link").join(wiki.notes.select("key", "name"), "key").select("name", "title"))
+    one = spark.sql("SELECT wiki_key(array('a', 'b'), 'c') = concat('a', char(1), 'b', char(1), 'c'), wiki_name(array('a'), 'c'), wiki_escape('<\"&'), wiki_strip_tags('<b>x'), trim(wiki_section('# a b\n\nt', 'a-b')), (SELECT count(*) FROM wiki_tasks('- [ ] x'))").collect()[0]
+    assert tuple(one)[:4] == (True, "a/c", "&lt;&quot;&amp;", "x") and one[4].strip() == "t" and one[5] == 1
+
+
+def test_read_tools(wiki):
+    assert tools.call(wiki, "get_note", title="Home", fields="title,ctx") == {"title": "Home", "ctx": None}
+    assert tools.call(lambda: wiki, "lookup_note_backlinks", title="Home")["count"] == 2 and tools.call(wiki, "list_tags")["results"][0] == {"title": "t", "backlinks_count": 1}
+    assert tools.call(wiki, "search_notes", query="tsk")["count"] == 1 and tools.call(wiki, "lookup_tag_backlinks", tag="t/u")["count"] == 1 and tools.call(wiki, "lookup_note_links", title="Home")["count"] == 3
+    for code, tool, params in ((-32602, "get_note", {"title": "Home", "fields": "links"}), (-32004, "get_note", {"title": "none"}), (-32004, "get_note", {"title": "Home", "heading": "x"}), (-32006, "lookup_note_backlinks", {"title": "none"}), (-32004, "search_notes", {"query": "x", "logic": "xor"})):
+        with pytest.raises(tools.ToolError) as e:
+            tools.call(wiki, tool, **params)
+        assert e.value.code == code
+    with pytest.raises(tools.ToolError) as e:
+        tools.call(lambda: 1 / 0, "list_tags")
+    assert e.value.code == -32003
+
+
+def test_json_of_scalars_and_zones(spark):
+    r = spark.range(1).select(X.json_value(F.lit('a"b')), X.json_value(F.lit(1)), X.json_value(F.lit(None).cast("string")), X.json_value(F.array(F.lit(1)))).collect()[0]
+    assert tuple(r) == ('"a\\"b"', "1", "null", "[1]")
+    with pytest.raises(ValueError):
+        X.date_text("t", "%Y", "No/Where")
+
+
+def test_hub_pages_links_and_stale_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(site_writer, "PER_PAGE", 5)
+    monkeypatch.setattr(site_writer.dealt, "__defaults__", (5,))
+    notes = [("Hub", None, "hub text")] + [(f"n\u3000{i}", ["c x"], f"**see** [[Hub#top|h]] #[[big/t{i}]] [[c x/n\u00a0{i}]]" + (" ![p](https://e.x/p.png)" if i % 2 else "")) for i in range(23)]
+    notes += [(f"n\u00a0{i}", ["c x"], "") for i in range(23)]
+    w = Wiki(spark.createDataFrame(notes, "title string, ctx array<string>, md_text string"), config.Config(base_url="https://e/", title="W"))
+    out = tmp_path / "_site"
+    n = site_writer.build(w, str(out))
+    files = {str(p.relative_to(out)) for p in out.rglob("*.html")}
+    assert n == len(files)
+    hubs = [(out / f).read_text() for f in files if f.startswith("notes/hub")]
+    assert len(hubs) == 5 and sum(h.count('class="summary"') for h in hubs) == 12 and sum(h.count("p.png") for h in hubs) == 11 and any("see h #big/t0" in h for h in hubs)
+    assert sum((out / f).read_text().count("<li>") for f in files if f.startswith("tags/big") and not f.startswith("tags/big/")) == 23
+    for f in files:  # every link of the site leads to a file
+        for u in re.findall(r'href="https://e/([^"#]*)', (out / f).read_text()):
+            assert u in files, (f, u)
+    index = (out / "index.html").read_text()
+    assert index.count("<li>") == 47 + 15 and index.endswith("</html>\n")
+    assert len(json.loads((out / "search_index.json").read_text())) == 47
+    assert (out / "tag-index").exists() is False and "prefers-color-scheme" in (out / "main.css").read_text()
+    (out / "mine.html").write_text("kept")
+    fewer = Wiki(spark.createDataFrame(notes[:1], "title string, ctx array<string>, md_text string"), config.Config(base_url="https://e/", paginate_by=10, color_scheme="only_dark"))
+    assert site_writer.build(fewer, str(out)) == 3
+    assert {str(p.relative_to(out)) for p in out.rglob("*.html")} == {"mine.html", "index.html", "notes/hub.html", "tags/index.html"}
+    assert "prefers" not in (out / "main.css").read_text()
+
+
+def test_tag_index_has_pages(spark):
+    w = Wiki(spark.createDataFrame([("n", None, " ".join(f"#[[t{i:03}]]" for i in range(205)))], "title string, ctx array<string>, md_text string"), config.Config(base_url="https://e"))
+    pages = {r["rel_path"]: r["html"] for r in site_writer.tag_index(w).collect()}
+    assert {k: v.count("<li>") for k, v in pages.items()} == {"tags/index.html": 101, "tag-index/2.html": 101, "tag-index/3.html": 5}
+    assert 'href="https://e/tag-index/2.html">More...' in pages["tags/index.html"] and "More" not in pages["tag-index/3.html"]
+
+
+def test_a_closed_wiki_leaves_no_tables(spark):
+    with Wiki(spark.createDataFrame(NOTES, "title string, ctx array<string>, md_text string, committed_ts bigint")) as w:
+        assert w.backlink_counts().count() == 4
+        folders = [x[1] for x in scratch._MADE if any(x[1] in f for f in [*w.parsed.inputFiles(), *w.edges.inputFiles()])]
+    assert len(folders) == 2 and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.md").write_text("# A b\n\n- [ ] do it\n\n#[[t]] #[[s]]\n\n## Part Two\n\nbody\n")
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    run = lambda *a: (cli.main(["-C", str(tmp_path), *a]), capsys.readouterr().out)[1]
+    assert run("todo") == "open\tx/a\t3\tdo it\n"
+    assert run("tag", "list") == "t\t1\ns\t1\n"
+    assert json.loads(run("--json", "tag", "list")) == {"results": [{"title": "s", "backlinks_count": 1}, {"title": "t", "backlinks_count": 1}], "count": 2}
+    assert "body" in run("get", "a", "--ctx", "x", "--heading", "Part Two", "--fields", "body") and run("search", "zzzz") == ""

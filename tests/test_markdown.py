@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from notegrid.functions.html import Renderer, slug
@@ -79,3 +81,59 @@ def test_references_of_any_length():
     assert kinds(f"[[{name}]] #[[t/{name}]] ![[{name}#h]]") == [("link", name, None, None), ("tag", f"t/{name}", None, None), ("embed", name, "h", None)]
     assert kinds(f"[[n|{alias}]]") == [("link", "n", None, "a]" * 2000)]
     assert kinds("[[" + "a" * 500_000) == [] and kinds("[[a" * 100 + r"\]" * 50_000) == []
+
+
+ODD = {
+    "quotes": ">" * 100_000, "quotes and a line that carries on": ">" * 100_000 + "\nlazy", "open brackets": "[" * 100_000, "images": "![a" * 33_000, "backticks": "`" * 100_000,
+    "backticks in pairs": "` `` " * 20_000, "backticks of all lengths": "".join("`" * i + " " for i in range(440)), "stars": "*" * 100_000, "open stars": "*a " * 33_000, "underscores": "_a " * 33_000,
+    "items": "- " * 50_000 + "x", "items of both kinds": "1. - " * 20_000 + "[ ] x", "open tags": "<!" * 50_000, "open comments": "<!-- > " * 14_000, "link target of blanks": "[a](" + " " * 100_000,
+    "open link titles": '[a](b "' * 12_000, "nested links": "[" * 20_000 + "](u)" * 20_000, "open wiki links": "[[a" * 33_000, "heading of blanks": "# a" + " " * 100_000 + "b", "definitions": "[a]: " * 20_000,
+    "backslashes": "\\" * 100_000, "dollars": "$a " * 30_000, "carets": "^a" * 30_000, "tildes": "~~a " * 30_000, "URLs": "http://a " * 10_000, "table": "a|b\n-|-\n" * 5_000, "bars": "|" * 50_000 + "\n" + "-|" * 50_000,
+}
+
+
+@pytest.mark.parametrize("text", ODD.values(), ids=ODD)
+def test_odd_texts_take_little_time(text):
+    begin = time.perf_counter()
+    scan(text)
+    assert time.perf_counter() - begin < 1.5  # a tenth of it alone
+    Renderer("https://e").render(text)
+    assert time.perf_counter() - begin < 5
+
+
+def test_deep_containers_are_read():
+    assert scan("> " * 3000 + "[[x]] #[[t]]").refs[0][2] == "x" and scan("- " * 3000 + "[x] done [[y]]").tasks == [("done", "done y", 1)]
+    assert Renderer("https://e").render("> " * 3 + "a") == "<blockquote><blockquote><blockquote><p>a</p></blockquote></blockquote></blockquote>"
+    assert Renderer("https://e").render("- - a\n- b") == "<ul><li><ul><li>a</li></ul></li><li>b</li></ul>"
+    assert scan(">> a\nlazy [[z]]\n\n> # h\n").headings == [(1, "h", 4, None, False)]
+
+
+def test_only_what_is_wanted_is_scanned():
+    text = "# H *x*\n\n[[a]] #[[t]] ![i](https://e.x/i.png)\n\n- [ ] do [[b]]\n\n```py\nc\n```\n"
+    whole = scan(text)
+    for part in ("refs", "headings", "code", "tasks", "images"):
+        one = scan(text, frozenset((part,)))
+        assert getattr(one, part) == getattr(whole, part) != []
+        assert all(not getattr(one, x) for x in ("refs", "headings", "code", "tasks", "images") if x != part)
+
+
+@pytest.mark.parametrize(
+    "text, html",
+    [
+        ("| a | b |\n|:-:|--:|\n| 1 \\| 2 | `x` |\n| 3 |", '<table><thead><tr><th align="center">a</th><th align="right">b</th></tr></thead><tbody><tr><td align="center">1 | 2</td><td align="right"><code>x</code></td></tr><tr><td align="center">3</td><td align="right"></td></tr></tbody></table>'),
+        ("a\n\nx | y\nno table", "<p>a</p>\n<p>x | y\nno table</p>"), ("~~gone~~ x^2^ *e*", "<p><del>gone</del> x<sup>2</sup> <em>e</em></p>"), ("$a<b$ $$c$$ 5$ and 6$", '<p><span data-math-style="inline">a&lt;b</span> <span data-math-style="display">c</span> 5$ and 6$</p>'),
+        ("see https://e.x/a_b. (http://e.y/(z))", '<p>see <a href="https://e.x/a_b">https://e.x/a_b</a>. (<a href="http://e.y/(z)">http://e.y/(z)</a>)</p>'), ("a &amp; b &copy;", "<p>a &amp; b ©</p>"),
+        ("x[^n][^n] y[^m]\n\n[^n]: note *t*", '<p>x<sup class="footnote-ref"><a href="#fn-n" id="fnref-n">1</a></sup><sup class="footnote-ref"><a href="#fn-n">1</a></sup> y[^m]</p>\n<section class="footnotes"><ol><li id="fn-n">note <em>t</em> <a href="#fnref-n">↩</a></li></ol></section>'),
+        ("<https://e.x/y>", '<p><div class="link-card" data-url="https://e.x/y" data-host="e.x"><a href="https://e.x/y" rel="noopener noreferrer">https://e.x/y</a></div></p>'),
+        ("***", "<hr>"), ("![a *b*](u.png) [l **m**](v)", '<p><img src="u.png" alt="a *b*"> <a href="v">l <strong>m</strong></a></p>'),
+    ],
+)
+def test_html(text, html):
+    assert Renderer("https://e").render(text) == html
+
+
+def test_embed_chains_of_any_length_and_cycles():
+    chain = {f"n{i}": f"![[n{i + 1}]]" for i in range(3000)} | {"a": "x ![[b]]", "b": "![[a]] ![[c#Two Words]]", "c": "# One\n\n1\n\n## Two words\n\n2\n"}
+    r = Renderer("https://e", lambda c, t: chain.get(t))
+    assert r.render("![[n0]]").count('<div class="embed">') == 3000
+    assert r.render("![[a]]") == '<p><div class="embed"><p>x <div class="embed"><p><div class="embed-cycle">a</div> <div class="embed"><p>2</p></div></p></div></p></div></p>'
