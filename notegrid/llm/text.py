@@ -101,7 +101,8 @@ def words(cp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     total = np.zeros(len(cp) + 1, U)
     low = lower[cp]
     last = end[cp[end - 1] == 0x3A3] - 1  # a sigma that ends a word of more letters is written in its final form
-    low[last[np.isin(last, start, invert=True) & is_letter(cp, last - 1)]] = 0x3C2
+    if len(last):
+        low[last[np.isin(last, start, invert=True) & is_letter(cp, last - 1)]] = 0x3C2
     np.cumsum(mix(low.astype(U) + U(7)) * power[: len(cp)], out=total[1:])
     h = mix((total[end] - total[start]) * back[start])
     return h, np.searchsorted(begin, start, "right") - 1, start, end
@@ -131,9 +132,11 @@ def shingles(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def distinct(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text in rising order."""
-    order = np.lexsort((s, doc))
-    s, doc = s[order], doc[order]
+    """Distinct hashes of each text in rising order; the texts come in order."""
+    s = s.copy()
+    at = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+    for lo, hi in zip(at, [*at[1:], len(s)]):
+        s[lo:hi].sort()
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
     return s[first], doc[first]
