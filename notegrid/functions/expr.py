@@ -75,7 +75,8 @@ def slug_dash(text: Column | str) -> Column:
 
 
 def slug_heading(text: Column | str) -> Column:
-    kept = F.regexp_replace(F.lower(F.regexp_replace(col(text), f"(?:{WHITE}|-)+", "-")), r"[^\p{L}\p{N}-]+", "")
+    # letter by letter, so a sigma has no final form
+    kept = F.regexp_replace(F.lower(F.replace(F.regexp_replace(col(text), f"(?:{WHITE}|-)+", "-"), F.lit("Σ"), F.lit("σ"))), r"[^\p{L}\p{N}-]+", "")
     return F.regexp_replace(F.regexp_replace(kept, "-+", "-"), "^-|-$", "")
 
 

@@ -38,7 +38,7 @@ def _slug() -> str:
 
 
 def _heading_slug() -> str:
-    kept = f"regexp_replace(lower(regexp_replace(text, {_quoted(f'(?:{WHITE}|-)+')}, '-')), {_quoted('[^\\p{L}\\p{N}-]+')}, '')"
+    kept = f"regexp_replace(lower(replace(regexp_replace(text, {_quoted(f'(?:{WHITE}|-)+')}, '-'), 'Σ', 'σ')), {_quoted('[^\\p{L}\\p{N}-]+')}, '')"
     return f"regexp_replace(regexp_replace({kept}, '-+', '-'), '^-|-$', '')"
 
 

@@ -393,7 +393,28 @@ def search_or(spark, d):
     return table(spark, d, "documents").where(search.matches("text", "thmond qzx", "or")).select("doc_id")
 
 
-@query("search_top")
+def _score_sql(keyword: str) -> str:
+    """Score of a keyword over ``text``: the better of the leftmost places of its letters and of its first whole occurrence."""
+    fold = not any(c.isupper() for c in keyword)
+    x, n = ("lower(text)" if fold else "text"), len(keyword)
+    places = [f"strpos(x, '{keyword[0]}') AS p0"]
+    for k, c in enumerate(keyword[1:], 1):
+        at = f"strpos(substr(x, p{k - 1} + 1), '{c}')"
+        places.append(f"CASE WHEN p{k - 1} > 0 AND {at} > 0 THEN p{k - 1} + {at} ELSE 0 END AS p{k}")
+
+    def along(p: list[str]) -> str:
+        begins = [f"CASE WHEN {q} = 1 OR NOT regexp_matches(substr(x, {q} - 1, 1), '[\\p{{L}}\\p{{N}}]') THEN 8 ELSE 0 END" for q in p]
+        steps = [f"CASE WHEN {r} = {q} + 1 THEN 10 ELSE -least(16, {r} - {q} - 1) END" for q, r in zip(p, p[1:])]
+        return " + ".join([str(16 * n), *begins, *steps])
+
+    left, whole = along([f"p{k}" for k in range(n)]), along([f"(w + {k})" for k in range(n)])
+    return f"SELECT note_id, CASE WHEN p{n - 1} = 0 THEN 0 ELSE greatest(1, {left}, CASE WHEN w > 0 THEN {whole} ELSE 1 END) END AS score FROM (SELECT note_id, x, strpos(x, '{keyword}') AS w, {', '.join(places)} FROM (SELECT note_id, {x} AS x FROM t))"
+
+
+@query("search_top", f"""
+WITH t AS (SELECT note_id, array_to_string(list_append(coalesce(ctx, []), title), '/') AS name, name || ' ' || coalesce(md_text, '') AS text FROM wiki_notes),
+a AS ({_score_sql('Home')}), b AS ({_score_sql('drafts')})
+SELECT t.note_id, name, a.score + b.score AS score FROM t JOIN a ON a.note_id = t.note_id JOIN b ON b.note_id = t.note_id WHERE a.score > 0 AND b.score > 0 ORDER BY 3 DESC, 1 LIMIT 100""")
 def search_top(spark, d):
     """The hundred best notes for a query."""
     notes = extract.with_key(table(spark, d, "wiki_notes")).withColumn("text", search.search_text())
@@ -409,7 +430,8 @@ _SPACE_SQL = "[\\s\\p{Z}\\x{0B}\\x{85}]"
 
 
 def _slug_sql(c: str) -> str:
-    out = f"lower(regexp_replace({c}, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g'))"
+    final = f"regexp_replace({c}, '(\\p{{L}})Σ(\\P{{L}}|$)', '\\1ς\\2', 'g')"  # DuckDB lowers letter by letter
+    out = f"lower(regexp_replace({final}, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g'))"
     for sign, word in X.SIGN_WORDS.items():
         out = f"replace({out}, '{sign.replace(chr(39), chr(39) * 2)}', '-{word}-')"
     return f"regexp_replace(regexp_replace(regexp_replace({out}, '{_SPACE_SQL}+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"

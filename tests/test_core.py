@@ -199,7 +199,7 @@ def test_a_parse_of_some_parts_equals_the_whole_one(wiki):
 
 
 def test_slugs_take_any_white_space_and_agree(spark):
-    texts = ["a\u3000b", "\u00a0 a\u00a0 b\u2003", "A\tb/c!", "--x--", "", "\u2028", "é É", "a-\u3000-b"]
+    texts = ["a\u3000b", "\u00a0 a\u00a0 b\u2003", "A\tb/c!", "--x--", "", "\u2028", "é É", "a-\u3000-b", "ΟΔΟΣ ΣΑΣ"]
     register(spark)
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", X.slug_dash("t").alias("d"), X.slug_heading("t").alias("h"), F.expr("wiki_slug(t)").alias("sd"), F.expr("wiki_heading_slug(t)").alias("sh")).collect():
@@ -286,3 +286,19 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert run("tag", "list") == "t\t1\ns\t1\n"
     assert json.loads(run("--json", "tag", "list")) == {"results": [{"title": "s", "backlinks_count": 1}, {"title": "t", "backlinks_count": 1}], "count": 2}
     assert "body" in run("get", "a", "--ctx", "x", "--heading", "Part Two", "--fields", "body") and run("search", "zzzz") == ""
+
+
+def test_folders_are_walked_by_workers(spark, tmp_path, monkeypatch):
+    want = set()
+    for i in range(7):
+        for path in (f"d{i}/n{i}.md", f"d{i}/e/static/n.md", f"m{i}.md"):
+            (tmp_path / path).parent.mkdir(exist_ok=True, parents=True)
+            (tmp_path / path).write_text(path)
+            want.add(path)
+    (tmp_path / "static").mkdir()
+    (tmp_path / "static/no.md").write_text("no")
+    for most in (1, 3, 256):
+        monkeypatch.setattr(markdown_files, "FOLDERS", most)
+        reader = markdown_files.Reader({"path": str(tmp_path), "exclude": "static"})
+        parts = reader.partitions()
+        assert sum(p.folder is not None for p in parts) >= (most == 3) * 3 and {r[3] for p in parts for r in reader.read(p)} == {p for p in want}
