@@ -110,9 +110,9 @@ def parse(notes: DataFrame, *wanted: str, keep: tuple[str, ...] = (), spans: boo
     return rows.mapInArrow(_parser(frozenset(_PARTS[x][0] for x in parts), needle, spans), schema)
 
 
-def refs(parsed: DataFrame, *kinds: str) -> DataFrame:
-    """Wiki references in source order; ``pos`` counts from 0 among all kinds, ``dst`` is the key they name."""
-    rows = parsed.select("key", F.posexplode("refs").alias("pos", "x")).select("key", "pos", "x.*")
+def refs(parsed: DataFrame, *kinds: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Wiki references in source order; ``pos`` counts from 0 among all kinds scanned for, ``dst`` is the key they name."""
+    rows = parsed.select("key", *keep, F.posexplode("refs").alias("pos", "x")).select("key", *keep, "pos", "x.*")
     rows = rows.where(F.col("kind").isin(*kinds)) if kinds else rows
     return rows.withColumns({"dst": X.key_id("ctx", "title"), "dst_name": X.key_display("ctx", "title")})
 

@@ -17,7 +17,7 @@ from notegrid.operators import extract
 def follow(versions: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     def put(batch: DataFrame, number: int) -> None:
         newest = extract.with_key(batch).groupBy("key").agg(F.max(F.struct("version", "md_text")).alias("x")).select("key", "x.version", "x.md_text")
-        parsed = extract.parse(newest).join(newest.select("key", "version"), "key")
+        parsed = extract.parse(newest, *extract.ALL, keep=("version",))
         parsed.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     w = versions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
@@ -32,6 +32,6 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
 
 def tag_activity(versions: DataFrame, at: str = "changed_at", late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Uses of each tag per window of event time; later than the watermark is dropped."""
-    parsed = extract.parse(extract.with_key(versions).select(F.to_json(F.struct("key", F.col(at).cast("string").alias("at"))).alias("key"), "md_text"))
-    rows = extract.refs(parsed, "tag").withColumn("at", F.get_json_object("key", "$.at").cast("timestamp"))
+    parsed = extract.parse(extract.with_key(versions), "tags", keep=(at,))
+    rows = extract.refs(parsed, "tag", keep=(at,)).withColumn("at", F.col(at).cast("timestamp"))
     return rows.withWatermark("at", late).groupBy(F.window("at", width), F.col("dst_name").alias("tag")).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@ import json
 import os
 import re
 import subprocess
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,16 @@ def test_stream(spark, tmp_path):
     assert [r["dst_name"] for r in extract.refs(now).collect()] == ["b"]
 
 
+def test_tags_by_window(spark, tmp_path):
+    day = lambda n, h=0: datetime(2024, 1, n, h)
+    rows_in = [("n", None, "#[[a]] #[[a]]", day(1)), ("m", None, "#[[a]] #[[b]]", day(1, 5)), ("n", None, "plain", day(2)), ("n", None, "#[[b]]", day(3))]
+    spark.createDataFrame(rows_in, "title string, ctx array<string>, md_text string, changed_at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("title string, ctx array<string>, md_text string, changed_at timestamp").parquet(str(tmp_path / "in"))
+    ingest.tag_activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r["window"]["start"].day, r["tag"]): r["n"] for r in spark.table("activity").collect()}
+    assert got == {(1, "a"): 3, (1, "b"): 1, (3, "b"): 1}
+
+
 def test_empty_wiki(spark):
     w = Wiki(spark.createDataFrame([], "title string, ctx array<string>, md_text string"))
     assert w.tags().count() == 0 and w.index().count() == 0 and w.lint().count() == 0 and w.todo("all").count() == 0
