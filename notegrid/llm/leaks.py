@@ -225,6 +225,18 @@ def near_words(postings: Postings, doc: np.ndarray, items: Items) -> pd.DataFram
     # the commonest RUN - SURE words of a stretch are left out; the rest that occur are looked up
     ranked = np.argsort(seen, axis=1, kind="stable")[:, : width - (RUN - SURE)]
     anchors = np.unique(np.take_along_axis(at, ranked, 1)[np.take_along_axis(seen, ranked, 1) > 0])
+    # whole items are taken so many at a time that the places of their words stay below CHUNK (one item has its own)
+    total = np.cumsum(count[anchors])
+    first = np.searchsorted(items.item[anchors], items.item[anchors])
+    part = (total[first] - count[anchors][first]) // CHUNK if len(anchors) else total
+    found = [none, *(_near(anchors[part == k], count, item, postings, doc, items) for k in np.unique(part))]
+    return pd.concat(found).groupby(["doc", "item"], as_index=False)["near"].max()
+
+
+def _near(anchors: np.ndarray, count: np.ndarray, item: np.ndarray, postings: Postings, doc: np.ndarray, items: Items) -> pd.DataFrame:
+    """Proximity matches of the items of some looked-up words."""
+    term, order, begin = postings
+    width, m = 2 * RUN, len(items.term)
     n = count[anchors]
     q = np.repeat(anchors, n)
     p = order[np.repeat(begin[items.term[anchors]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -234,7 +246,7 @@ def near_words(postings: Postings, doc: np.ndarray, items: Items) -> pd.DataFram
     q, last, d = key[far] % m, key[far + SURE - 1] % m, key[far] // m - m
     ok = (key[far + SURE - 1] // m - m == d) & (items.item[q] == items.item[last]) & (doc[q + d] == doc[last + d])
     q, low, d = q[ok], last[ok] - width + 1, d[ok]
-    found = [none]
+    found = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "item", "near")})]
     for k in range(0, len(q), 20000):
         # all words on the diagonal, in every stretch that holds these hits
         own = slice(k, k + 20000)
@@ -247,7 +259,7 @@ def near_words(postings: Postings, doc: np.ndarray, items: Items) -> pd.DataFram
         most = (total[:, width:] - total[:, :-width]).max(axis=1)
         hit = np.flatnonzero(most >= RUN)
         found.append(pd.DataFrame({"doc": doc[(q + d)[own][hit]], "item": items.item[q[own][hit]], "near": most[hit]}))
-    return pd.concat(found).groupby(["doc", "item"], as_index=False)["near"].max()
+    return pd.concat(found)
 
 
 def find(index: DataFrame, items: DataFrame, run: int = RUN, gap: int = 10, item_id: str = "item_id", item_text: str = "text", most: int = ITEMS, proximity: bool = False) -> DataFrame:

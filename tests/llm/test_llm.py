@@ -421,7 +421,9 @@ def near_plain(d, t, most=26):
     return max((sum(e[k : k + most]) for e in equal.values() for k in range(len(t))), default=0)
 
 
-def test_edited_passages_are_proximity_matches(spark):
+@pytest.mark.parametrize("chunk", [2_000_000, 50])
+def test_edited_passages_are_proximity_matches(spark, monkeypatch, chunk):
+    monkeypatch.setattr(leaks, "CHUNK", chunk)
     rng = random.Random(8)
     vocabulary = ["the", "of", *(f"w{i}" for i in range(40))]
     items = [(k, [f"i{k}x{rng.randrange(30)}" if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate((40, 30, 20, 13, 12))]
