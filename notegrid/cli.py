@@ -7,6 +7,7 @@ import os
 import sys
 import time
 
+from notegrid import display
 from notegrid.sources import config as cfg
 
 
@@ -14,10 +15,14 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="notegrid")
     p.add_argument("-C", "--folder", default=os.environ.get("NOTEGRID_FOLDER", "."))
     p.add_argument("--json", action="store_true")
+    p.add_argument("--table", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("init")
     build = sub.add_parser("build")
     build.add_argument("--git", action="store_true")
+    serve = sub.add_parser("serve")
+    serve.add_argument("--git", action="store_true")
+    serve.add_argument("--port", type=int, default=display.PORT)
     for name in ("get", "links", "backlinks"):
         c = sub.add_parser(name)
         c.add_argument("title")
@@ -55,9 +60,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     w = Wiki.from_folder(spark, folder, config, git=a.command == "lint" or getattr(a, "git", False))
     ctx = a.ctx.split("/") if getattr(a, "ctx", None) else None
-    if a.command == "build":
+    if a.command in ("build", "serve"):
         print(site_writer.build(w, os.path.join(folder, config.output_dir), lambda x: print(x, file=sys.stderr)), "pages")
         w.close()
+        if a.command == "serve":
+            with display.server(os.path.join(folder, config.output_dir), a.port) as server:
+                print(f"http://{display.HOST}:{server.server_port}/", flush=True)
+                server.serve_forever()
         return 0
     listing = a.command == "tag" and a.tag_command == "list"
     rows = {
@@ -73,8 +82,11 @@ def main(argv: list[str] | None = None) -> int:
             n += 1
         print(f'],"count":{n}}}')
     else:
-        for r in rows.toLocalIterator():
-            print("\t".join(todo_line(r) if a.command == "todo" else map(shown, r)))
+        todo = a.command == "todo"
+        lines = (todo_line(r) if todo else [*map(shown, r)] for r in rows.toLocalIterator())
+        names = ["status", "note", "line", "text"] if todo else rows.columns
+        for line in display.table(names, lines) if a.table else map("\t".join, lines):
+            print(line)
     w.close()
     return 0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Signs that a dash slug spells as words.
 SIGN_WORDS = {
@@ -37,6 +37,11 @@ def key_ctx(path: Column | str) -> Column:
     return F.when(F.size(s) > 1, F.slice(s, 1, F.size(s) - 1))
 
 
+def path_title(path: Column | str) -> Column:
+    """Title of the note at a path: the file's name without its ending."""
+    return F.regexp_replace(key_title(path), r"\.md$", "")
+
+
 def key_display(ctx: Column | str, title: Column | str) -> Column:
     return F.concat_ws("/", col(ctx), col(title))
 
@@ -161,6 +166,12 @@ def json_row(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def envelope(rows: DataFrame) -> DataFrame:
+    """One row: {results, count} of rows that fit it, in their order."""
+    body = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("results"), F.count("*").alias("count"))
+    return body.select(json_row("results", "count").alias("json"))
+
+
 def json_value(value: Column | str) -> Column:
     """JSON of any value, a scalar too; null is null."""
     whole = F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"})

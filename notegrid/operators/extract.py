@@ -125,14 +125,19 @@ def code_blocks(parsed: DataFrame) -> DataFrame:
     return parsed.select("key", F.posexplode("code").alias("pos", "x")).select("key", "pos", "x.*")
 
 
-def tasks(parsed: DataFrame, status: str | None = None) -> DataFrame:
+def tasks(parsed: DataFrame, status: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tasks; ``status`` open, done, deferred, or all (None)."""
     if status not in (None, "all", "open", "done", "deferred"):
         raise ValueError(f"unknown status {status!r}")
-    rows = parsed.select("key", F.posexplode("tasks").alias("pos", "x")).select("key", "pos", "x.*")
+    rows = parsed.select("key", *keep, F.posexplode("tasks").alias("pos", "x")).select("key", *keep, "pos", "x.*")
     return rows if status in (None, "all") else rows.where(F.col("status") == status)
 
 
+def task_order() -> list[Column]:
+    """By context as it is shown, title and line."""
+    return [F.coalesce(F.array_join("ctx", "/"), F.lit("")), F.col("title"), F.col("line")]
+
+
 def images(parsed: DataFrame) -> DataFrame:
     return parsed.select("key", F.posexplode("images").alias("pos", "url"))
 

@@ -8,9 +8,11 @@ a single task and what is below is computed once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from notegrid.functions import expr as X
+from notegrid.functions.html import Renderer
 from notegrid.plans.scratch import written
 
 
@@ -59,6 +61,17 @@ def pointers(paged: DataFrame) -> DataFrame:
     return per.select("page", page_name(p).alias("current"), F.when(p > 1, page_name(p - 1)).alias("prev"), F.when(p < F.col("last"), page_name(p + 1)).alias("next"))
 
 
+def rendered(text: Column | str, base: str) -> Column:
+    """HTML of a note's text, embeds left as they are written."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        r = Renderer(base)
+        return s.map(lambda t: r.render(t or ""))
+
+    return run(X.col(text))
+
+
 def search_index(notes: DataFrame, base: str) -> DataFrame:
     """One JSON object a note: its display name and its URL."""
     rows = notes.select(F.col("name").alias("title"), X.note_href(base, "ctx", "title").alias("url"))

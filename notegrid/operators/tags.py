@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from notegrid.functions import expr as X
 
 
+def by_title() -> list[Column]:
+    """Order on pages."""
+    return [F.desc("n"), F.asc("title")]
+
+
+def by_segments() -> list[Column]:
+    """Order of the listing."""
+    return [F.desc("n"), F.asc("tag")]
+
+
+def by_segments_last() -> list[Column]:
+    """Order of the listing as text."""
+    return [F.desc("n"), F.desc("tag")]
+
+
 def members(note_tags: DataFrame) -> DataFrame:
     """Distinct (tag, key): a note belongs to its tags and all their ancestors, once each."""
     return note_tags.select("key", F.explode(X.tag_prefixes("tag")).alias("tag")).distinct()
@@ -22,15 +37,15 @@ def counts(note_tags: DataFrame) -> DataFrame:
 
 
 def for_pages(counted: DataFrame) -> DataFrame:
-    return counted.orderBy(F.desc("n"), "title")
+    return counted.orderBy(*by_title())
 
 
 def for_listing(counted: DataFrame) -> DataFrame:
-    return counted.orderBy(F.desc("n"), "tag")
+    return counted.orderBy(*by_segments())
 
 
 def for_text(counted: DataFrame) -> DataFrame:
-    return counted.orderBy(F.desc("n"), F.desc("tag"))
+    return counted.orderBy(*by_segments_last())
 
 
 def top(counted: DataFrame, k: int = 15) -> DataFrame:

@@ -151,7 +151,7 @@ def todo_open(spark, d):
     """Open tasks by context, title and line."""
     w = World(spark, d)
     rows = extract.tasks(w.parsed("tasks"), "open").join(w.notes.select("key", "name", "title", "ctx"), "key")
-    return rows.orderBy(F.coalesce(F.array_join("ctx", "/"), F.lit("")), "title", "line").select(F.col("name").alias("note"), "text", "line")
+    return rows.orderBy(*extract.task_order()).select(F.col("name").alias("note"), "text", "line")
 
 
 @query("todo_status_counts", sql(f"SELECT status, count(*) AS n FROM ({_TASK}) GROUP BY 1"))
@@ -338,6 +338,73 @@ def tag_href(spark, d):
     return tags.tag_set(extract.note_tags(World(spark, d).parsed("tags"))).select(X.tag_display("tag").alias("tag"), X.tag_href(BASE, "tag").alias("href"))
 
 
+# HTML of the rendered notes, embeds left as written: what the renderer makes of each block of rendered.py.
+def _a(stem: str, label: str, more: str = "") -> str:
+    return f"'<a href=\"{BASE}notes/' || {stem} || '.html{more}\">' || {label} || '</a>'"
+
+
+def _tag_sql(tag: str) -> str:
+    return f"'<a class=\"tag\" href=\"{BASE}tags/' || replace(lower({tag}), ' ', '-') || '.html\">#' || {tag} || '</a>'"
+
+
+_HTML = f"""
+SELECT P.key AS note, md5('<h1 id="p' || k || '">P' || k || '</h1>' || chr(10) || '<p>' || {_tag_sql("('catalog/' || t || '/' || b)")} || '</p>' || chr(10)
+  || CASE WHEN p_size > 25 THEN '<h2 id="spec">Spec</h2>' ELSE '<h2 id="notes">Notes</h2>' END || chr(10) || '<p>' || p_name || '</p>'
+  || CASE WHEN p_size % 10 = 0 THEN chr(10) || '<p>See also ' || {_a("replace(lower(P.key), ' ', '-')", "'P' || k")} || '</p>' ELSE '' END
+  || CASE WHEN k % 7 = 0 THEN chr(10) || '<p><img src="https://img.example.com/p' || k || '.png" alt="img"></p>' ELSE '' END
+  || CASE WHEN k % 5 = 0 THEN chr(10) || '<pre><code class="language-sql">select ''[[not/a/link]]'', ' || k || chr(10) || '</code></pre>' ELSE '' END
+  || coalesce(chr(10) || '<p>![[' || EM.dst || ']]</p>', '')) AS digest FROM P LEFT JOIN EM ON EM.src = P.key
+UNION ALL SELECT key, md5('<h1 id="' || lower(key) || '">' || key || '</h1>' || chr(10) || '<p>' || {_tag_sql("('segment/' || s)")} || '</p>') FROM C
+UNION ALL SELECT O.key, md5('<h1 id="o' || k || '">O' || k || '</h1>' || chr(10) || '<p>' || {_tag_sql("('status/' || s)")} || ' ' || {_tag_sql("('priority/' || left(o_orderpriority, 1))")} || '</p>' || chr(10)
+  || '<p>Customer ' || {_a("'c' || o_custkey", "'buyer'")} || '</p>' || chr(10) || '<h2 id="lines">Lines</h2>' || coalesce(chr(10) || '<ul>' || x.items || '</ul>', '') || coalesce(chr(10) || '<p>![[' || EM.dst || '#Spec]]</p>', ''))
+FROM O LEFT JOIN (SELECT l_orderkey, string_agg('<li><input type="checkbox" disabled class="task-' || CASE WHEN l_returnflag = 'R' THEN 'deferred">' WHEN l_linestatus = 'F' THEN 'done" checked>' ELSE 'open">' END
+  || ' ship ' || {_a("replace(lower(pk), ' ', '-')", "string_split(pk, '/')[-1]", "#spec")} || ' qty ' || l_quantity::INT || '</li>', '' ORDER BY rn) AS items FROM L GROUP BY 1) x ON x.l_orderkey = O.k
+LEFT JOIN EM ON EM.src = O.key"""
+
+
+@query("html_notes", sql(_HTML))
+def html_notes(spark, d):
+    """Digest of the HTML of every note, embeds left as they are written."""
+    return World(spark, d).notes.select(F.col("name").alias("note"), F.md5(site.rendered("md_text", BASE)).alias("digest"))
+
+
+_TAG_ORDER = ", X AS (SELECT tag AS title, count(*) AS n, string_split(tag, '/') AS a FROM TM GROUP BY 1) SELECT title, n, row_number() OVER (ORDER BY {}) AS row FROM X"
+
+
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    return site.positions(rows, order).select("title", "n", "row")
+
+
+@query("tag_order_pages", sql(_TAG_ORDER.format("n DESC, title")))
+def tag_order_pages(spark, d):
+    return _placed(tags.counts(extract.note_tags(World(spark, d).parsed("tags"))), tags.by_title())
+
+
+@query("tag_order_listing", sql(_TAG_ORDER.format("n DESC, a")))
+def tag_order_listing(spark, d):
+    return _placed(tags.counts(extract.note_tags(World(spark, d).parsed("tags"))), tags.by_segments())
+
+
+@query("tag_order_text", sql(_TAG_ORDER.format("n DESC, a DESC")))
+def tag_order_text(spark, d):
+    return _placed(tags.counts(extract.note_tags(World(spark, d).parsed("tags"))), tags.by_segments_last())
+
+
+@query("todo_order", sql(f"SELECT note, line, text, row_number() OVER (ORDER BY 'orders/' || s, note, line) AS row FROM ({_TASK.replace('SELECT O.key AS note', 'SELECT O.key AS note, O.s')}) WHERE status = 'open'"))
+def todo_order(spark, d):
+    """Place of each open task in the order of contexts, titles and lines."""
+    w = World(spark, d)
+    rows = extract.tasks(extract.parse(w.notes, "tasks", keep=("name", "title", "ctx")), "open", keep=("name", "title", "ctx"))
+    return site.positions(rows, extract.task_order()).select(F.col("name").alias("note"), "line", "text", "row")
+
+
+@query("todo_labels", sql(f"SELECT note AS label, count(*) AS n FROM ({_TASK}) GROUP BY 1"))
+def todo_labels(spark, d):
+    """Tasks of each note by its label."""
+    rows = extract.tasks(extract.parse(World(spark, d).notes, "tasks", keep=("title", "ctx")), keep=("title", "ctx"))
+    return rows.groupBy(X.key_display("ctx", "title").alias("label")).agg(F.count("*").alias("n"))
+
+
 # --- the wiki tables as they are -------------------------------------------------------------
 
 
@@ -508,3 +575,36 @@ def key_parse(spark, d):
 def json_rows(spark, d):
     """JSON objects that keep nulls."""
     return table(spark, d, "wiki_notes").select("note_id", X.json_row("title", "thumbnail").alias("json"))
+
+
+@query("json_values", "SELECT note_id, to_json(title) AS title, coalesce(to_json(thumbnail), 'null') AS thumbnail, to_json(coalesce(len(links), 0)) AS n FROM wiki_notes")
+def json_values(spark, d):
+    """JSON of scalars."""
+    n = F.coalesce(F.size("links"), F.lit(0))
+    return table(spark, d, "wiki_notes").select("note_id", X.json_value("title").alias("title"), X.json_value("thumbnail").alias("thumbnail"), X.json_value(n).alias("n"))
+
+
+@query("base_urls", "SELECT note_id, regexp_replace(regexp_extract(thumbnail, '^[a-z]+://[^/]+/?'), '/+$', '') || '/' AS url FROM wiki_notes WHERE thumbnail IS NOT NULL")
+def base_urls(spark, d):
+    rows = table(spark, d, "wiki_notes").where("thumbnail is not null")
+    return rows.select("note_id", X.base_url(F.regexp_extract("thumbnail", "^[a-z]+://[^/]+/?", 0)).alias("url"))
+
+
+@query("bounded_paths", "SELECT DISTINCT array_to_string(path, '/') AS tag, len(path) BETWEEN 1 AND 2 AS two FROM tag_refs")
+def bounded_paths(spark, d):
+    """Which tags are at most two segments deep."""
+    return table(spark, d, "tag_refs").select(X.tag_display("path").alias("tag")).distinct().select("tag", X.bounded("tag", 2).alias("two"))
+
+
+@query("paths_to_keys", sql("SELECT key || '.md' AS path, title, ctx FROM N"))
+def paths_to_keys(spark, d):
+    """Titles and contexts from the paths of notes."""
+    path = World(spark, d).notes.select(X.note_path("ctx", "title").alias("path"))
+    return path.select("path", X.path_title("path").alias("title"), F.array_join(X.key_ctx("path"), "/").alias("ctx"))
+
+
+@query("results_count", "SELECT '{\"results\":[' || string_agg('{\"note_id\":' || note_id || ',\"thumbnail\":' || coalesce(to_json(thumbnail), 'null') || '}', ',' ORDER BY note_id) || '],\"count\":' || count(*) || '}' AS json FROM (SELECT note_id, thumbnail FROM wiki_notes ORDER BY note_id LIMIT 50)")
+def results_count(spark, d):
+    """The envelope of a small result."""
+    rows = table(spark, d, "wiki_notes").select("note_id", "thumbnail").orderBy("note_id").limit(50)
+    return X.envelope(rows)

@@ -31,6 +31,22 @@ _BASE = "body { max-width: 46rem; margin: 2rem auto; font-family: sans-serif; li
 _SCHEMA = "rel_path string, html string"
 
 
+#: Search of titles in the browser: from three characters on, the five best of the index by where the text begins.
+SEARCH = """<input id="search" placeholder="Search"><ul id="found"></ul><script>
+const box = document.getElementById("search"), found = document.getElementById("found");
+const titles = fetch("search_index.json").then((r) => r.json());
+box.addEventListener("input", async () => {
+  const q = box.value.trim().toLowerCase();
+  const hits = q.length < 3 ? [] : (await titles).map((x) => [x.title.toLowerCase().indexOf(q), x]).filter((x) => x[0] >= 0);
+  found.replaceChildren(...hits.sort((a, b) => a[0] - b[0]).slice(0, 5).map(([, x]) => {
+    const item = document.createElement("li"), link = item.appendChild(document.createElement("a"));
+    [link.href, link.textContent] = [x.url, x.title];
+    return item;
+  }));
+});
+</script>"""
+
+
 def style(scheme: str) -> str:
     """The style sheet of a colour scheme: os_setting, only_light or only_dark."""
     return _BASE + {"only_light": _LIGHT, "only_dark": _DARK}.get(scheme, f"{_LIGHT}@media (prefers-color-scheme: dark) {{\n{_DARK}}}\n")
@@ -133,7 +149,7 @@ def _intro(w: Wiki) -> str:
     base = w.config.base_url
     readme = w.notes.where("is_readme").select("md_text").limit(1).collect()
     top = tags.top(tags.counts(w.note_tags)).select("title", X.tag_href(base, "tag").alias("u")).collect()  # at most 15
-    return (Renderer(base).render(readme[0]["md_text"]) if readme else "") + _list([(r["title"], r["u"]) for r in top])
+    return (SEARCH if w.config.build_search_index else "") + (Renderer(base).render(readme[0]["md_text"]) if readme else "") + _list([(r["title"], r["u"]) for r in top])
 
 
 def index_rows(w: Wiki) -> DataFrame:

@@ -109,7 +109,7 @@ class Wiki:
 
     def todo(self, status: str = "open") -> DataFrame:
         rows = extract.tasks(self.parsed, status).join(self.notes.select("key", "title", "ctx"), "key")
-        return rows.orderBy(F.coalesce(F.array_join("ctx", "/"), F.lit("")), "title", "line").select("title", "ctx", "status", "text", "line")
+        return rows.orderBy(*extract.task_order()).select("title", "ctx", "status", "text", "line")
 
     def lint(self, rules: list[str] | str | None = None, now: int | None = None) -> DataFrame:
         days = self.config.stale_days or lint.STALE_DAYS
@@ -149,5 +149,4 @@ class Wiki:
 
     def results_json(self, rows: DataFrame) -> DataFrame:
         """One JSON object {results, count} of a result that fits one row; nulls are kept. The command line writes larger ones row by row."""
-        body = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("results"), F.count("*").alias("count"))
-        return body.select(X.json_row("results", "count").alias("json"))
+        return X.envelope(rows)

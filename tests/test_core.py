@@ -2,12 +2,14 @@ import json
 import os
 import re
 import subprocess
+import threading
+import urllib.request
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from notegrid import cli, tools
+from notegrid import cli, display, tools
 from notegrid.functions import expr as X, html, markdown
 from notegrid.functions.sql import register
 from notegrid.operators import extract, graph, lint, search, site
@@ -296,6 +298,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert run("todo") == "open\tx/a\t3\tdo it\n"
     assert run("tag", "list") == "t\t1\ns\t1\n"
     assert json.loads(run("--json", "tag", "list")) == {"results": [{"title": "s", "backlinks_count": 1}, {"title": "t", "backlinks_count": 1}], "count": 2}
+    assert run("--table", "todo").splitlines() == ["status  note  line  text", "------  ----  ----  -----", "open    x/a   3     do it"] and run("--table", "search", "zzzz") == ""
     assert "body" in run("get", "a", "--ctx", "x", "--heading", "Part Two", "--fields", "body") and run("search", "zzzz") == ""
 
 
@@ -313,3 +316,13 @@ def test_folders_are_walked_by_workers(spark, tmp_path, monkeypatch):
         reader = markdown_files.Reader({"path": str(tmp_path), "exclude": "static"})
         parts = reader.partitions()
         assert sum(p.folder is not None for p in parts) >= (most == 3) * 3 and {r[3] for p in parts for r in reader.read(p)} == {p for p in want}
+
+
+def test_tables_and_preview(tmp_path):
+    assert display.width("\x1b[31mab\x1b[0m") == 2
+    assert display.table(["a", "url", "b"], [["x", "", "1"], ["\x1b[1mlong\x1b[0m", "", "2"]]) == ["a     b", "----  -", "x     1", "\x1b[1mlong\x1b[0m  2"] and display.table(["a"], []) == []
+    (tmp_path / "index.html").write_text("hello")
+    with display.server(str(tmp_path), 0) as s:
+        threading.Thread(target=s.handle_request).start()
+        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/index.html", timeout=10) as r:
+            assert r.read() == b"hello"
