@@ -10,7 +10,8 @@ letters without a twin belong.
 
 Each value gets ``plain`` (its plain spelling) and ``skeleton`` (the same with
 every look-alike as its Latin twin, so equal for all strings that look alike).
-Printable ASCII is its own plain spelling and skeleton. Nulls stay null, the
+Printable ASCII is its own plain spelling and skeleton. Joiners and non-joiners stay between characters of a
+writing that they shape (Arabic, Indic, emoji); all else that is invisible goes. Nulls stay null, the
 empty string stays empty, a value of nothing but invisible characters becomes
 empty. Case is kept.
 """
@@ -32,12 +33,17 @@ CYRILLIC = "АВСЕНІЈКМ.ОРЅТХУ.ԚѴԜасԁеһіјӏорԛѕѵԝх
 GREEK = "ΑΒ.ΕΗΙ.ΚΜΝΟΡ.ΤΧΥΖ....ϲ...ιϳ.ορ..ν.χ."
 #: Tags of compatibility decompositions that only change width, shape or joining.
 SHAPES = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>"}
+#: Writing in which a joiner or non-joiner between two characters changes what is seen: there it stays, elsewhere it goes.
+_SCRIPTS = ("Arabic", "Syriac", "Mongolian", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala")
+_JOINED = "[" + "".join(rf"\p{{Is{x}}}" for x in _SCRIPTS) + r"\p{So}\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
 _BLANK = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
 
 def decomposition(c: str) -> str | None:
     """What a character is spelt with; None if with itself."""
     kind = unicodedata.category(c)
+    if c in "\u200c\u200d":  # those that do nothing are gone by then
+        return None
     if kind == "Cf" or ord(c) in _BLANK:
         return ""
     if kind == "Zs" or c in "\t\n\r\x0b\x0c\x85  ":
@@ -106,6 +112,13 @@ def simple(c: Column) -> Column:
     return ~c.rlike(r"[^ -~]")
 
 
+def without_idle_joiners(c: Column) -> Column:
+    """The text without joiners and non-joiners that shape nothing; two noncharacters stand for the others meanwhile."""
+    for joiner, mark in ("\u200c\ufdd0", "\u200d\ufdd1"):
+        c = F.regexp_replace(c, f"({_JOINED}){joiner}(?={_JOINED})", f"$1{mark}")
+    return F.translate(F.translate(c, "\u200c\u200d", ""), "\ufdd0\ufdd1", "\u200c\u200d")
+
+
 def respell(values: DataFrame, column: str = "value") -> DataFrame:
     """(value, plain, skeleton) of each distinct non-null value."""
     spark = values.sparkSession
@@ -113,7 +126,7 @@ def respell(values: DataFrame, column: str = "value") -> DataFrame:
     easy = all_values.where(simple(F.col("value"))).select("value", F.col("value").alias("plain"), F.col("value").alias("skeleton"))
     odd = written(all_values.where(~simple(F.col("value"))).withColumn("id", F.monotonically_increasing_id()), "odd")
     parts, props = (F.broadcast(x) for x in tables(spark))
-    points = odd.select("id", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(.)"), F.lit(1))).alias("pos", "c"))
+    points = odd.select("id", F.posexplode(F.regexp_extract_all(without_idle_joiners(F.col("value")), F.lit(r"(?s)(.)"), F.lit(1))).alias("pos", "c"))
     split = points.join(parts, "c", "left").select("id", "pos", F.posexplode(F.coalesce("parts", F.array("c"))).alias("sub", "c"))
     known = split.join(props, "c", "left").withColumn("class", F.coalesce("class", F.lit(0)))
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -206,6 +206,18 @@ def test_plain_spelling(spark, odd, plain):
     assert [(x["value"], x["plain"]) for x in r] == [(odd, plain)]
 
 
+@pytest.mark.parametrize(
+    "odd, plain",
+    [
+        ("ma\u200crk", "mark"), ("ma\u200drk\u200d", "mark"), ("\u200d", ""), ("می\u200cخواهم", "می\u200cخواهم"), ("x\u200cمی", "xمی"), ("क्\u200dष", "क्\u200dष"),
+        ("\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\u200d\U0001f469\u200d\U0001f467"), ("a\u200b\u2060\u00adb", "ab"),
+    ],
+)
+def test_joiners_stay_where_they_shape(spark, odd, plain):
+    r = respell.respell(spark.createDataFrame([(odd,)], "value string")).collect()
+    assert [(x["value"], x["plain"]) for x in r] == [(odd, plain)]
+
+
 def test_odd_spellings(spark):
     notes = spark.createDataFrame([(1, "Mark", "p"), (2, "Mаrk", "p"), (3, "MARK", "p"), (4, None, None), (5, "", "p"), (6, "Mark", "p"), (7, "Lоst", "p"), (8, "сор", "p"), (9, "cop", "p")], "note_id bigint, title string, plain string")
     links = spark.createDataFrame([(1, "Ｍａｒｋ"), (1, "Ｍａｒｋ"), (2, "Mark"), (None, None)], "ref_id bigint, title string")
