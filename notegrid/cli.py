@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from notegrid import display
+from notegrid import display, rpc
 from notegrid.sources import config as cfg
 
 
@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--status", choices=("open", "done", "deferred", "all"), default="open")
     check = sub.add_parser("lint")
     check.add_argument("--rule", action="append")
+    mcp = sub.add_parser("mcp").add_subparsers(dest="mcp_command", required=True).add_parser("serve")
+    mcp.add_argument("--http", action="store_true")
+    mcp.add_argument("--port", type=int, default=rpc.PORT)
     tag = sub.add_parser("tag").add_subparsers(dest="tag_command", required=True)
     tag.add_parser("list")
     tag.add_parser("backlinks").add_argument("tag")
@@ -59,6 +62,15 @@ def main(argv: list[str] | None = None) -> int:
     config = cfg.load(path) if os.path.exists(path) else cfg.Config()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     w = Wiki.from_folder(spark, folder, config, git=a.command == "lint" or getattr(a, "git", False))
+    if a.command == "mcp":
+        with w:
+            if a.http:
+                with rpc.server(w, a.port) as server:
+                    print(f"http://127.0.0.1:{server.server_port}{rpc.PATH}", file=sys.stderr, flush=True)
+                    server.serve_forever()
+            else:
+                rpc.lines(w, sys.stdin, sys.stdout)
+        return 0
     ctx = a.ctx.split("/") if getattr(a, "ctx", None) else None
     if a.command in ("build", "serve"):
         print(site_writer.build(w, os.path.join(folder, config.output_dir), lambda x: print(x, file=sys.stderr)), "pages")

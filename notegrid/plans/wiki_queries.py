@@ -580,7 +580,7 @@ def json_rows(spark, d):
 @query("json_values", "SELECT note_id, to_json(title) AS title, coalesce(to_json(thumbnail), 'null') AS thumbnail, to_json(coalesce(len(links), 0)) AS n FROM wiki_notes")
 def json_values(spark, d):
     """JSON of scalars."""
-    n = F.coalesce(F.size("links"), F.lit(0))
+    n = F.when(F.col("links").isNull(), 0).otherwise(F.size("links"))
     return table(spark, d, "wiki_notes").select("note_id", X.json_value("title").alias("title"), X.json_value("thumbnail").alias("thumbnail"), X.json_value(n).alias("n"))
 
 

@@ -70,18 +70,24 @@ def _backlinks(items) -> str:
 
 
 def _others(base: str, stem: str, ending: str, pages: int, at: int) -> str:
-    """Links to the other pages of a long list."""
+    """Links to the first, the neighbouring and the last page of a long list."""
     if pages < 2:
         return ""
-    names = [f"{base}{stem}{f'.{ending}-{k}' if k else ''}.html" for k in range(pages)]
-    return "<p>" + " ".join(f'<a href="{u}">{k + 1}</a>' if k != at else str(k + 1) for k, u in enumerate(names)) + "</p>"
+    out = f"<p>{at + 1} / {pages}"
+    for name, k in (("first", 0), ("prev", at - 1), ("next", at + 1), ("last", pages - 1)):
+        if 0 <= k < pages and k != at:
+            out += f' <a rel="{name}" href="{base}{stem}{f".{ending}-{k}" if k else ""}.html">{name}</a>'
+    return out + "</p>"
 
 
 def dealt(rows: DataFrame, key: str, by: str, entry: Column, per_page: int = PER_PAGE) -> DataFrame:
-    """(key, page, pages, x): the entries of each key on pages of about ``per_page``, sorted on each."""
-    many = rows.groupBy(key).agg(F.ceil(F.count("*") / per_page).cast("int").alias("pages"))
-    placed = rows.join(many, key).withColumn("page", F.pmod(F.xxhash64(by), F.col("pages")).cast("int"))
-    return placed.groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    """(key, page, pages, x): the entries of each key on pages of about ``per_page``, sorted on each; pages count from 0 without gaps."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / per_page).cast("int").alias("dealt"))
+    placed = rows.join(many, key).withColumn("part", F.pmod(F.xxhash64(by), F.col("dealt")).cast("int"))
+    used = placed.where("dealt > 1").select(key, "part").distinct().groupBy(key).agg(F.sort_array(F.collect_list("part")).alias("used"))
+    paged = placed.groupBy(key, "part").agg(F.sort_array(F.collect_list(entry)).alias("x")).join(used, key, "left")
+    page = F.coalesce(F.array_position("used", F.col("part")).cast("int") - 1, F.lit(0))
+    return paged.select(key, page.alias("page"), F.when(F.col("used").isNull(), 1).otherwise(F.size("used")).alias("pages"), "x")
 
 
 def embedded(w: Wiki) -> DataFrame:

@@ -1,15 +1,17 @@
+import io
 import json
 import os
 import re
 import subprocess
 import threading
+import urllib.error
 import urllib.request
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from notegrid import cli, display, tools
+from notegrid import cli, display, rpc, tools
 from notegrid.functions import expr as X, html, markdown
 from notegrid.functions.sql import register
 from notegrid.operators import extract, graph, lint, search, site
@@ -326,3 +328,42 @@ def test_tables_and_preview(tmp_path):
         threading.Thread(target=s.handle_request).start()
         with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/index.html", timeout=10) as r:
             assert r.read() == b"hello"
+
+
+def test_rpc(wiki):
+    def ask(method, id=1, **params):
+        return rpc.respond(wiki, {"jsonrpc": "2.0", "id": id, "method": method, "params": params})
+
+    assert ask("initialize")["result"]["serverInfo"]["name"] == "notegrid" and ask("ping")["result"] == {} and ask("none")["error"]["code"] == -32601
+    listed = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}
+    assert len(listed) == 6 and listed["search_notes"] == {"type": "object", "properties": {"query": {"type": "string"}, "num": {"type": "integer"}, "logic": {"type": "string"}}, "required": ["query"]}
+    found = ask("tools/call", name="lookup_note_backlinks", arguments={"title": "Home"})["result"]
+    assert json.loads(found["content"][0]["text"])["count"] == 2 and found["isError"] is False
+    assert ask("tools/call", name="lookup_note_backlinks", arguments={"title": "no"})["error"]["code"] == -32006
+    for bad in ({"name": "x"}, {"name": "list_tags", "arguments": {"y": 1}}, {"name": "get_note"}):
+        assert ask("tools/call", **bad)["error"]["code"] == -32602
+    assert rpc.respond(wiki, {"method": "notifications/initialized"}) is None and all(rpc.respond(wiki, x)["error"]["code"] == -32600 for x in (None, [], {"id": 1}, {"method": 1}))
+    out = io.StringIO()
+    rpc.lines(wiki, io.StringIO('{"id": 1, "method": "ping"}\n\nnonsense\n{"method": "n"}\n'), out)
+    assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [1, None]
+    with rpc.server(wiki, 0) as s:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+
+        def post(path, body, **headers):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{s.server_port}{path}", body.encode(), headers), timeout=60) as r:
+                    return r.status, r.read()
+            except urllib.error.HTTPError as e:
+                return e.code, b""
+
+        assert json.loads(post("/mcp", '{"id": 7, "method": "ping"}')[1]) == {"jsonrpc": "2.0", "id": 7, "result": {}}
+        assert post("/mcp", '{"method": "n"}')[0] == 202 and post("/other", "{}")[0] == 404 and post("/mcp", "{}", Host="evil.example:80")[0] == 403
+        s.shutdown()
+
+
+def test_long_lists_are_dealt_to_pages_without_gaps(spark):
+    df = spark.createDataFrame([("hub", i) for i in range(40)] + [("one", 1), (None, 2)], "k string, v bigint")
+    got = site_writer.dealt(df, "k", "v", F.struct("v"), 2).where("k is not null").collect()
+    hub = [r for r in got if r["k"] == "hub"]
+    assert sorted(r["page"] for r in hub) == list(range(len(hub))) and {r["pages"] for r in hub} == {len(hub)} and len(hub) > 9
+    assert sorted(x["v"] for r in hub for x in r["x"]) == list(range(40)) and [(r["page"], r["pages"]) for r in got if r["k"] == "one"] == [(0, 1)]
