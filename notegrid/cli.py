@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     ctx = a.ctx.split("/") if getattr(a, "ctx", None) else None
     if a.command in ("build", "serve"):
-        print(site_writer.build(w, os.path.join(folder, config.output_dir), lambda x: print(x, file=sys.stderr)), "pages")
+        print(site_writer.build(w, os.path.join(folder, config.output_dir), lambda x: print(x, file=sys.stderr), os.path.join(folder, "static")), "pages")
         w.close()
         if a.command == "serve":
             with display.server(os.path.join(folder, config.output_dir), a.port) as server:

@@ -281,8 +281,9 @@ def _remove_stale(pages: DataFrame, folder: str, manifest: str) -> None:
         before.join(pages, "rel_path", "left_anti").foreachPartition(remove)
 
 
-def build(w: Wiki, folder: str, stage: Callable[[str], None] | None = None) -> int:
-    """Write the site; returns the number of pages. ``stage`` hears of each stage, which is also the description of its jobs."""
+def build(w: Wiki, folder: str, stage: Callable[[str], None] | None = None, static: str | None = None) -> int:
+    """Write the site; returns the number of pages. ``stage`` hears of each stage, which is also the description of its jobs.
+    A style sheet main.css in the folder ``static`` takes the place of ours."""
     spark, folder = w.notes.sparkSession, os.path.abspath(folder)
 
     def begin(name: str) -> None:
@@ -304,8 +305,12 @@ def build(w: Wiki, folder: str, stage: Callable[[str], None] | None = None) -> i
     _remove_stale(pages, folder, manifest)
     write_parts(pages, [F.col("rel_path")], "rel_path", manifest, "", "\n", "\n")
     begin("write style sheet")
-    with open(os.path.join(folder, "main.css"), "w", encoding="utf-8") as f:
-        f.write(style(w.config.color_scheme))
+    own = os.path.join(static, "main.css") if static else ""
+    if own and os.path.exists(own):
+        shutil.copyfile(own, os.path.join(folder, "main.css"))
+    else:
+        with open(os.path.join(folder, "main.css"), "w", encoding="utf-8") as f:
+            f.write(style(w.config.color_scheme))
     if w.config.build_search_index:
         begin("write search index")
         write_parts(w.search_index(), [F.col("title")], "json", os.path.join(folder, "search_index.json"), "[", ",", "]\n")

@@ -273,6 +273,9 @@ def test_hub_pages_links_and_stale_pages(spark, tmp_path, monkeypatch):
     assert (out / "tag-index").exists() is False and "prefers-color-scheme" in (out / "main.css").read_text()
     (out / "mine.html").write_text("kept")
     fewer = Wiki(spark.createDataFrame(notes[:1], "title string, ctx array<string>, md_text string"), config.Config(base_url="https://e/", paginate_by=10, color_scheme="only_dark"))
+    (tmp_path / "static").mkdir()
+    (tmp_path / "static/main.css").write_text("own {}")
+    assert site_writer.build(fewer, str(out), static=str(tmp_path / "static")) == 3 and (out / "main.css").read_text() == "own {}"
     assert site_writer.build(fewer, str(out)) == 3
     assert {str(p.relative_to(out)) for p in out.rglob("*.html")} == {"mine.html", "index.html", "notes/hub.html", "tags/index.html"}
     assert "prefers" not in (out / "main.css").read_text()
