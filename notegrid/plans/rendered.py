@@ -49,12 +49,12 @@ def order_notes(spark: SparkSession, d: str) -> DataFrame:
     mark = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_linestatus") == "F", "x").otherwise(" ")
     shown = _text("- [", mark, "] ship [[", F.col("pk"), "#Spec]] qty ", F.col("l_quantity").cast("int").cast("string"), "\n")
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, "pk", shown.alias("text")))).alias("x"))
+    rows = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, shown.alias("text")))).alias("x"))
     o = table(spark, d, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     body = _text(
         "# O", _s("o_orderkey"), "\n\n#[[status/", F.col("o_orderstatus"), "]] #[[priority/", F.substring("o_orderpriority", 1, 1), "]]\n\nCustomer [[C", _s("o_custkey"), "|buyer]]\n\n## Lines\n",
         F.when(F.col("x").isNotNull(), F.concat(F.lit("\n"), F.array_join("x.text", ""))).otherwise(""),
-        F.when((F.col("o_orderkey") % 3 == 0) & F.col("x").isNotNull(), _text("\n![[", F.get("x.pk", F.lit(0)), "#Spec]]\n")).otherwise(""),
+        F.when((F.col("o_orderkey") % 3 == 0) & F.col("x").isNotNull(), _text("\n![[", F.regexp_extract(F.get("x.text", F.lit(0)), r"\[\[(.*)#Spec", 1), "#Spec]]\n")).otherwise(""),
     )
     return o.select(_text("O", _s("o_orderkey")).alias("title"), F.array(F.lit("orders"), "o_orderstatus").alias("ctx"), body.alias("md_text"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("committed_ts"))
 
