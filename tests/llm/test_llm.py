@@ -104,6 +104,37 @@ def test_near_duplicates(spark, monkeypatch):
     assert per[1000]["copies"] == 5
 
 
+def test_crowded_tops_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    shared, rows = some_text(rng, 70).split(), []
+    for g in range(12):
+        base = shared + [f"{rng.choice(VOCABULARY)}{g}" for _ in range(34)]
+        rows += [(3 * g + c, None, " ".join(base[: len(base) - k] + [f"new{g}x{x}" for x in range(k)])) for c, k in enumerate((0, 13, 22))]
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], NOTES)
+    monkeypatch.setattr(neardup, "CELL", 8)
+    assert {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df)).collect()} == near_pairs(rows)
+    links = neardup.near_duplicates(df, threshold=0.45)[1]  # below the usual threshold too
+    sets = {i: set(zip(w, w[1:], w[2:])) for i, _, t in rows for w in [t.split()]}
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.45 * len(sets[a] | sets[b])}
+
+
+def test_every_pair_at_the_threshold_shares_its_tops():
+    rng, share = np.random.default_rng(4), neardup.Fraction("0.6")
+    for _ in range(300):
+        n = int(rng.integers(3, 200))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        keep = int(rng.integers(n * 3 // 4, n + 1))
+        a, b = np.sort(pool[:n]), np.sort(np.append(pool[:keep], pool[n : n + int(rng.integers(0, n))]))
+        shared = len(np.intersect1d(a, b))
+        if shared * 10 < 6 * (len(a) + len(b) - shared):
+            continue
+        i, j = neardup.trie_pairs(np.zeros(2, np.int64), neardup._sketch(np.append(a, b), np.array([0, n]), 4), size=np.array([n, len(b)]), share=share)
+        assert len(i) == 1
+        tops = [x[: neardup._first(np.array(len(x)), share)] for x in (a, b)]  # in order of hashes
+        need = neardup._pairs(np.arange(2), np.array([n, len(b)]), share, i, j, np.ones(1, np.int64))["need"][0]
+        assert len(np.intersect1d(*tops)) >= max(1, need)
+
+
 def test_a_repeated_id_counts_once(spark):
     rng = random.Random(12)
     texts = [some_text(rng, 40) for _ in range(3)]
